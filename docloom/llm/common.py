@@ -21,3 +21,23 @@ def bounded_batches(spark: SparkSession) -> None:
 def with_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, in this order; clashing extra columns never reach an operator."""
     return df.select(*[df[n] for n in names])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's own, or a temporary one in local tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        import tempfile
+
+        folder = "file://" + tempfile.mkdtemp(prefix="docloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back: computed once, and no executor's loss brings it up again."""
+    import uuid
+
+    path = f"{shared_folder(df.sparkSession)}/docloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import chat, packing, secrets
+from docloom.llm import chat, packing, quality_rules, secrets, simhash, topk, warc
 from docloom.llm.common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
@@ -23,9 +33,24 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' records against a replica with planted damage."""
+    pages = table(spark, sf_dir, "pages")
+    both = warc.records(pages, "primary").unionByName(warc.records(warc.planted(pages), "replica"))
+    return warc.report(both, "primary", "replica")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_packing, op6_chat_format, op7_secret_scan)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_simhash, op6_chat_format, op7_secret_scan, op9_topk_search, op10_warc_fixity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_quality_rules": quality_rules.oracle(),
+        "op9_topk_search": topk.oracle(),
+        "op10_warc_fixity": warc.oracle(),
+    }
