@@ -120,12 +120,15 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that pass, with the columns they came with."""
-    own = [F.col(f"_doc.{c}") for c in docs.columns]
+    """The documents that pass, with the columns they came with.
+
+    The verdict unfolds to one row or none. A filter would be pushed through the projections above the
+    scan, which would write out each metric anew wherever another refers to it.
+    """
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    m = metrics(packed)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return m.where(~failed & compile_rules(rules)).select(*own)
+    judged = metrics(packed).select("_doc", (~failed & compile_rules(rules)).alias("_kept"))
+    return judged.select(F.explode(F.when(F.col("_kept"), F.array("_doc"))).alias("_doc")).select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
 
 
 def oracle() -> str:
