@@ -23,6 +23,7 @@ empty table; extra columns are ignored; documents over a window are cut.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import deque
 
@@ -35,7 +36,7 @@ from docloom.llm.common import bounded_batches, with_columns
 WINDOW, END_ID = 4096, 2
 SENTENCE_PENALTY, FILLER_PENALTY, FILLER = 1, 4, 16
 SEGMENT = 1 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -45,11 +46,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Letters and numbers of Latin-1 in lower case, for texts that its 256 characters can write.
+_LETTER, _NUMBER = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+#: The pre-tokens of such a text: what the tokenizer's own pattern cuts, letters tried first.
+_PRETOKEN = re.compile(f"[{_LETTER}]+|[{_NUMBER}]|'s|'t|'re|'ve|'m|'ll|'d|[^\\t-\\r \\x85\\xa0{_LETTER}{_NUMBER}]+")
+
+
 class WordTokenizer:
-    """Ids of texts under a word-level BPE whose pre-tokenizer never joins across a space.
+    """Ids of texts under a word-level BPE, whose pre-tokens are encoded one by one.
 
-    Ids of the space-separated parts are kept in a bounded cache, so a frequent
-    word is encoded once; the library encodes all others.
+    Ids of pre-tokens are kept in a bounded cache, so a frequent word is encoded
+    once; the library encodes all others, many in one call. Latin-1 texts, which
+    the tokenizer's normaliser only lower-cases, are cut here; others are cut at
+    spaces and left to the library.
     """
 
     def __init__(self, path: str):
@@ -59,27 +68,56 @@ class WordTokenizer:
         self.tk = Tokenizer.from_file(path)
         self.tk.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
-        ends = np.zeros(self.tk.get_vocab_size() + 1, dtype=bool)
+        size = self.tk.get_vocab_size()
+        self.sentence_end, self.word_end = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
         for token, i in self.tk.get_vocab().items():
             body = token.removesuffix("</w>")
-            ends[i] = token.endswith("</w>") and body[-1:] in ".!?" and not any(c.isalnum() for c in body) and bool(body)
-        self.sentence_end = ends
+            self.word_end[i] = token.endswith("</w>")
+            self.sentence_end[i] = self.word_end[i] and body[-1:] in (".", "!", "?") and not any(c.isalnum() for c in body)
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of pre-tokens: encoded as one text, then parted at the tokens that end a word."""
+        at = 0
+        while at < len(new):
+            part = new[at : at + 20_000]
+            ids = np.array(self.tk.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (np.flatnonzero(self.word_end[ids]) + 1).tolist()
+            if len(ends) != len(part):
+                raise ValueError("a pre-token was cut")
+            raw, start = ids.tobytes(), 0
+            for x, end in zip(part, ends, strict=True):
+                self.cache[x] = raw[4 * start : 4 * end]
+                start = end
+            at += len(part)
 
     def encode(self, texts: list[str | None], end_id: int | None = None) -> list[np.ndarray]:
-        cache, parts, tail = self.cache, [(t or "").replace("\n", " ").split(" ") for t in texts], b"" if end_id is None else np.uint32(end_id).tobytes()
+        cache, tail = self.cache, b"" if end_id is None else np.uint32(end_id).tobytes()
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        new = list(set().union(*parts) - cache.keys())
-        for x, e in zip(new, self.tk.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[x] = np.array(e.ids, dtype="<u4").tobytes()
-        get = cache.__getitem__
-        out = [np.frombuffer(b"".join([*map(get, p), tail]), dtype="<u4") for p in parts]
+        parts = [_PRETOKEN.findall(t.lower()) if _latin(t) else None for t in (t or "" for t in texts)]
+        new = list(set().union(*filter(None, parts)) - cache.keys())
+        self._learn(new)
+        get, out = cache.__getitem__, []
+        for t, p in zip(texts, parts, strict=True):
+            if p is None:
+                found = self.tk.encode_batch_fast(t.replace("\n", " ").split(" "), add_special_tokens=False)
+                out.append(np.array([i for e in found for i in e.ids] + [end_id] * (end_id is not None), dtype="<u4"))
+            else:
+                out.append(np.frombuffer(b"".join([*map(get, p), tail]), dtype="<u4"))
         for x in new:
             if len(x) > 64:
                 del cache[x]
         return out
 
 
+def _latin(t: str) -> bool:
+    try:
+        t.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
