@@ -61,16 +61,17 @@ def hits(blocks: DataFrame, fields: DataFrame) -> DataFrame:
     """
     inner = field_hits(fields)
     lone = inner.where("kind in ('lone_open', 'lone_close')").withColumn("d", F.when(F.col("kind") == "lone_open", 1).otherwise(-1))
-    order = ["block_index", "cell_row", "cell_col", "start", "kind"]
+    order = ["block_index", "cell_row", "cell_col", "start", "end"]
     levels = _levels(lone, ["doc_id"], order).where("not lone_close")
     w = Window.partitionBy("doc_id", "level").orderBy(*order)
     names = ("d", "block_index", "end", "cell_row", "cell_col", "start")
     ahead = levels.withColumns({f"n_{c}": F.lead(c).over(w) for c in names}).where("d = 1 and n_d = -1 and n_block_index > block_index")
-    pairs = ahead.select("doc_id", "block_index", "cell_row", "cell_col", "start", F.col("n_block_index").alias("end_block"), F.col("n_end").alias("end"), F.col("n_start").alias("close_start"), F.col("n_cell_row").alias("close_row"), F.col("n_cell_col").alias("close_col"))
-    key = ["doc_id", "block_index", "cell_row", "cell_col", "start", "kind"]
-    used = pairs.select(*key[:5], F.lit("lone_open").alias("kind")).unionByName(
-        pairs.select("doc_id", F.col("end_block").alias("block_index"), F.col("close_row").alias("cell_row"), F.col("close_col").alias("cell_col"), F.col("close_start").alias("start"), F.lit("lone_close").alias("kind"))
+    # Both ends of a pair leave the lone hits.
+    used = ahead.select("doc_id", "block_index", "cell_row", "cell_col", "start", F.lit("lone_open").alias("kind"), "end").unionByName(
+        ahead.select("doc_id", F.col("n_block_index").alias("block_index"), F.col("n_cell_row").alias("cell_row"), F.col("n_cell_col").alias("cell_col"), F.col("n_start").alias("start"), F.lit("lone_close").alias("kind"), F.col("n_end").alias("end"))
     )
+    pairs = ahead.select("doc_id", "block_index", "cell_row", "cell_col", "start", F.col("n_block_index").alias("end_block"), F.col("n_end").alias("end"))
+    key = ["doc_id", "block_index", "cell_row", "cell_col", "start", "kind", "end"]
     rest = inner.join(used, key, "left_anti").withColumn("end_block", F.col("block_index"))
     flat = block_texts(blocks).withColumnRenamed("block_index", "_b")
     covered = pairs.select("doc_id", "block_index", "cell_row", "cell_col", "start", "end_block", "end", F.explode(F.sequence("block_index", "end_block")).alias("_b")).join(flat, ["doc_id", "_b"])

@@ -134,7 +134,7 @@ def classes(rows: DataFrame) -> DataFrame:
 
 def suggestions(scored: DataFrame, reasons: DataFrame, tuned: DataFrame) -> DataFrame:
     """Predicted verdict at the task's threshold, and a reason for positive ones whose best score is 0.5 or more."""
-    joined = scored.join(tuned.select("task", "threshold"), "task").join(reasons, ["task", "seq"], "left")
+    joined = scored.select("task", "seq", "proba").join(tuned.select("task", "threshold"), "task").join(reasons, ["task", "seq"], "left")
     positive = F.col("proba") >= F.col("threshold")
     sure = positive & (F.col("reason_score") >= REASON_SCORE)
     return joined.select("task", "seq", positive.alias("predicted"), "proba", F.when(sure, F.col("reason")).alias("predicted_reason"), F.when(sure, F.col("reason_score")).alias("predicted_reason_score"))

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from docloom.plans import spans
+from docloom.plans import learning, spans, structure
+from docloom.session import guard
 
-PARTS = (spans,)
+PARTS = (spans, structure, learning)
+
+
+def _guarded(query):
+    def run(spark, sf_dir):
+        return query(guard(spark), sf_dir)
+
+    return run
 
 
 def queries() -> dict:
-    return {k: v for p in PARTS for k, v in p.queries().items()}
+    return {k: _guarded(v) for p in PARTS for k, v in p.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+def guard(spark: SparkSession) -> SparkSession:
+    """Settings that right results need.
+
+    With union output partitioning on, Spark 4.1 may take a union of differently coalesced children for
+    co-partitioned and then loses rows or fails to zip them.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "docloom", **extra: str) -> SparkSession:
     conf = {
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
@@ -16,4 +26,4 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "d
     } | extra
     spark = SparkSession.builder.master(master).appName(app).config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return guard(spark)
