@@ -6,6 +6,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.session import guard
+
 #: Rows of one Arrow batch. Texts may be long, so batches stay small.
 BATCH_ROWS = 1000
 
@@ -16,6 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Keep the Arrow batches that go to Python workers small in rows and bytes, and let local workers find this package."""
+    guard(spark)
     root = str(Path(__file__).resolve().parents[2])
     environment = spark.sparkContext.environment
     if root not in environment.get("PYTHONPATH", "").split(":"):
@@ -45,5 +48,6 @@ def settle(df: DataFrame) -> DataFrame:
     import uuid
 
     path = f"{shared_folder(df.sparkSession)}/docloom/{uuid.uuid4().hex}"
+    guard(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
