@@ -20,7 +20,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +27,15 @@ from pyspark.sql import DataFrame
 
 from docloom.llm.common import bounded_batches, with_columns
 
-ROUNDS, WORD_BYTES, CACHE_PIECES = 24, 1 << 18, 200_000
-#: Unicode White_Space, as the pattern's \s means it.
-_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Stretches that the pattern never crosses: one run of other characters, with the space before it.
-_STRETCH = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+ROUNDS, WORD_BYTES, CACHE_PIECES = 24, 1 << 18, 400_000
+#: White space, letters and numbers among the 256 characters of Latin-1.
+_S, _L, _N = "\\t-\\r \\x85\\xa0", "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
+#: The pattern's pieces in texts of those characters, which the standard library finds faster.
+_LATIN = re.compile(f" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+
+
+#: What cuts a text into pieces; a fixed value of the public vocabularies.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def default_ranks() -> str:
@@ -74,26 +77,40 @@ class ByteBpe:
         import duckdb
         import regex
 
-        if pattern is None:
-            import public_tokenizers
-
-            pattern = public_tokenizers.PATTERN
-        self.pattern, self.ranks = regex.compile(pattern), read_ranks(path)
+        self.pattern, self.ranks = regex.compile(pattern or PATTERN), read_ranks(path)
+        # Pieces and their ids in two generations: a full one becomes the old one, from which pieces in use come back.
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.latin = self.pattern.pattern == PATTERN
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         self.con.execute("SET preserve_insertion_order = false")
         tok = np.array(list(self.ranks.values()), np.int64)
-        self.con.register("vocabulary_arrow", pa.table({"tok": tok, "h": [k.hex() for k in self.ranks]}))
-        pairs = [(self.ranks[k[:i]] * 2**20 + self.ranks[k[i:]], r) for k, r in self.ranks.items() for i in range(1, len(k)) if k[:i] in self.ranks and k[i:] in self.ranks]
-        pair, made = np.array(pairs, np.int64).T
-        self.con.register("merges_arrow", pa.table({"pair": pair, "made": made}))
-        for name in ("vocabulary", "merges"):
-            self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM {name}_arrow")
-            self.con.unregister(f"{name}_arrow")
+        self._table("vocabulary", {"tok": tok, "h": [k.hex() for k in self.ranks]})
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.merges = False
+
+    def _table(self, name: str, columns: dict) -> None:
+        self.con.register("made", pa.table(columns))
+        self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM made")
+        self.con.unregister("made")
+
+    def _pieces(self, text: str) -> list[str]:
+        if self.latin:
+            try:
+                text.encode("latin-1")
+                return _LATIN.findall(text)
+            except UnicodeEncodeError:
+                pass
+        return self.pattern.findall(text)
 
     def _contract(self, words: list[bytes]) -> list[np.ndarray]:
         """Tokens of each word once no pair can be contracted."""
+        if not self.merges:
+            r = self.ranks
+            pairs = [(r[k[:i]] * 2**20 + r[k[i:]], n) for k, n in r.items() for i in range(1, len(k)) if k[:i] in r and k[i:] in r]
+            pair, made = np.array(pairs, np.int64).T
+            self._table("merges", {"pair": pair, "made": made})
+            self.merges = True
         sizes = np.array([len(w) for w in words])
         w = np.repeat(np.arange(len(words)), sizes)
         g = np.arange(len(w))
@@ -110,41 +127,39 @@ class ByteBpe:
         order = np.argsort(g, kind="stable")
         return np.split(tok[order].astype("<u4"), np.cumsum(np.bincount(w, minlength=len(words)))[:-1])
 
-    def _learn(self, stretches: set[str]) -> None:
-        """Put the ids of new stretches into the cache."""
-        cut = {s: [x.encode() for x in self.pattern.findall(s)] for s in stretches}
-        known: dict[bytes, bytes] = {}
-        todo: list[bytes] = []
-        for x in set(chain.from_iterable(cut.values())):
-            if (r := self.ranks.get(x)) is not None:
-                known[x] = np.uint32(r).tobytes()
+    def _learn(self, pieces: set[str]) -> None:
+        """Put the ids of new pieces into the cache."""
+        todo: list[str] = []
+        for x in pieces:
+            if (known := self.old.get(x)) is not None:
+                self.cache[x] = known
+            elif (r := self.ranks.get(x.encode())) is not None:
+                self.cache[x] = np.uint32(r).tobytes()
             else:
                 todo.append(x)
-        todo.sort(key=len)
+        todo.sort(key=lambda x: (len(x), x))
         at = 0
         while at < len(todo):
-            end, size = at, 0
-            while end < len(todo) and (size == 0 or size + len(todo[end]) <= WORD_BYTES):
-                size += len(todo[end])
-                end += 1
-            for x, ids in zip(todo[at:end], self._contract(todo[at:end]), strict=True):
-                known[x] = ids.tobytes()
-            at = end
-        for s, xs in cut.items():
-            self.cache[s] = b"".join([known[x] for x in xs])
+            words, size = [], 0
+            while at < len(todo) and (not words or size + 4 * len(todo[at]) <= WORD_BYTES):
+                words.append(todo[at].encode())
+                size += len(words[-1])
+                at += 1
+            for x, ids in zip(todo[at - len(words) : at], self._contract(words), strict=True):
+                self.cache[x] = ids.tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        parts = [_STRETCH.findall(t or "") for t in texts]
+            self.old, self.cache = self.cache, {}
+        parts = [self._pieces(t or "") for t in texts]
         new = set().union(*parts) - self.cache.keys()
         self._learn(new)
         get = self.cache.__getitem__
         out = [b"".join(map(get, p)) for p in parts]
-        for s in new:
-            if len(s) > 64:
-                del self.cache[s]
+        for x in new:
+            if len(x) > 64:
+                del self.cache[x]
         return out
 
     def decode(self, ids: list[bytes], rows: int = 500_000) -> list[bytes]:
