@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from docloom.llm.common import bounded_batches, with_columns
 
-ROUNDS, WORD_BYTES, CACHE_PIECES = 24, 1 << 18, 400_000
+ROUNDS, WORD_BYTES, CACHE_PIECES = 24, 1 << 17, 200_000
 #: White space, letters and numbers among the 256 characters of Latin-1.
 _S, _L, _N = "\\t-\\r \\x85\\xa0", "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 #: The pattern's pieces in texts of those characters, which the standard library finds faster.
@@ -82,7 +82,7 @@ class ByteBpe:
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.latin = self.pattern.pattern == PATTERN
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         self.con.execute("SET preserve_insertion_order = false")
         tok = np.array(list(self.ranks.values()), np.int64)
         self._table("vocabulary", {"tok": tok, "h": [k.hex() for k in self.ranks]})

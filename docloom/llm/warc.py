@@ -64,14 +64,15 @@ def _parents(nodes: DataFrame, parent: list[Column]) -> DataFrame:
 
 
 def tree(found: DataFrame) -> list[tuple[DataFrame, str]]:
-    """Levels from the leaves to the root, with how a node's key gives its parent's: by "place" within a segment, by "segment" above."""
+    """Levels from the leaves to the root, with how a node's key gives its parent's: by "place" within a segment, by "segment" above, by "join" under the root."""
     level = settle(leaves(found))
     out = [(level, "place")]
     while True:
         top = level.agg(F.max("place"), F.max("segment"), F.min("segment")).first()
         if top[0] is None or (top[0] == 0 and top[1] == top[2]):
             return out
-        kind = "place" if top[0] > 0 else "segment"
+        # Halving keeps the sign of a segment, so -1 (null and negative pages) and 0 meet only under the root.
+        kind = "place" if top[0] > 0 else "join" if top[2] >= -1 and top[1] <= 0 else "segment"
         out[-1] = (level, kind)
         level = settle(_parents(level, _up(kind)))
         out.append((level, "root"))
@@ -80,6 +81,8 @@ def tree(found: DataFrame) -> list[tuple[DataFrame, str]]:
 def _up(kind: str) -> list[Column]:
     if kind == "place":
         return [F.col("segment").alias("up_segment"), F.floor(F.col("place") / FAN).cast("bigint").alias("up_place")]
+    if kind == "join":
+        return [F.lit(0).cast("bigint").alias("up_segment"), F.lit(0).cast("bigint").alias("up_place")]
     return [F.floor(F.col("segment") / FAN).cast("bigint").alias("up_segment"), F.lit(0).cast("bigint").alias("up_place")]
 
 
