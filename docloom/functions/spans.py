@@ -57,16 +57,32 @@ def quoted(s: str) -> str:
     return "r'" + s + "'" if "'" not in s else "r\"" + s + '"'
 
 
+_NONE = "cast(array() as array<struct<start:int,end:int,value:string>>)"
+
+
 def matches_sql(text: str, pattern: str) -> str:
     """SQL for array<struct<start,end,value>> of the leftmost non-overlapping matches.
 
-    The match may also be the empty end of the text: without it, the rest after the last match would be
-    scanned again from each of its characters.
+    One pass puts the control characters 1 and 2 around each match; splitting at the first gives pieces
+    whose lengths add up to offsets. A text that has these characters itself is cut into gaps and matches
+    instead, in two passes.
     """
+    marked = f"regexp_replace({text}, {quoted(f'(?U)({pattern})')}, concat(char(1), '$1', char(2)))"
+    hit = "substring_index(x, char(2), 1)"
+    add = f"named_struct('start', a.at, 'end', a.at + length({hit}), 'value', {hit})"
+    step = f"if(instr(x, char(2)) = 0, named_struct('at', a.at + length(x), 'out', a.out), named_struct('at', a.at + length(x) - 1, 'out', concat(a.out, array({add}))))"
+    zero = f"named_struct('at', 0, 'out', {_NONE})"
+    fast = f"aggregate(split({marked}, char(1)), {zero}, (a, x) -> {step}, a -> a.out)"
+    return f"if(instr({text}, char(1)) = 0 and instr({text}, char(2)) = 0, {fast}, {_gaps_sql(text, pattern)})"
+
+
+def _gaps_sql(text: str, pattern: str) -> str:
+    """The same from gaps and matches. The match may also be the empty end of the text: without it, the rest
+    after the last match would be scanned again from each of its characters."""
     p = quoted(rf"(?U)(?s:(.*?))((?:{pattern})|\z)")
     gaps, hits = (f"regexp_extract_all({text}, {p}, {g})" for g in (1, 2))
     pairs = f"zip_with({gaps}, {hits}, (g, h) -> named_struct('g', length(g), 'h', h))"
-    zero = "named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,value:string>>))"
+    zero = f"named_struct('at', 0, 'out', {_NONE})"
     step = (
         "named_struct('at', a.at + x.g + length(x.h), 'out', if(x.h = '', a.out, "
         "concat(a.out, array(named_struct('start', a.at + x.g, 'end', a.at + x.g + length(x.h), 'value', x.h)))))"
@@ -128,12 +144,9 @@ def detector_sql(text: str, d: Detector, order: int = 0) -> str:
 def entity_sql(text: str, order: int = 0) -> str:
     """Runs of capitalised words without the stop-words at both ends; runs of nothing else are dropped."""
     head, tail = rf"^(?:(?i:{_stop})(?:[ \t\-]+|$))+", rf"(?:(?:^|[ \t\-]+)(?i:{_stop}))+$"
-    rest = f"regexp_replace(s.value, {quoted(head)}, '')"
-    trimmed = (
-        f"transform({matches_sql(text, NAME)}, s -> named_struct('start', s.end - length({rest}), 'end', s.end, 'value', {rest}))"
-    )
-    core = f"regexp_replace(s.value, {quoted(tail)}, '')"
-    cut = f"filter(transform({trimmed}, s -> named_struct('start', s.start, 'end', s.start + length({core}), 'value', {core})), s -> s.value <> '')"
+    rest = f"transform({matches_sql(text, NAME)}, s -> named_struct('end', s.end, 'rest', regexp_replace(s.value, {quoted(head)}, '')))"
+    core = f"transform({rest}, s -> named_struct('start', s.end - length(s.rest), 'value', regexp_replace(s.rest, {quoted(tail)}, '')))"
+    cut = f"filter(transform({core}, s -> named_struct('start', s.start, 'end', s.start + length(s.value), 'value', s.value)), s -> s.value <> '')"
     return _spans(text, ENTITY, order, cut)
 
 
@@ -156,6 +169,16 @@ def party_sql(text: str, names: list[str], order: int = 0) -> str:
     return f"concat({', '.join(parts)})" if parts else NO_SPANS
 
 
+def settled(c: Column) -> Column:
+    """The same values, computed once per row.
+
+    Filters on an array, such as the one that an explode implies, are pushed through the projections that
+    make it, which writes the whole detection into each lambda that refers to it. An expression that the
+    optimiser takes for random stays where it is.
+    """
+    return F.when(F.rand() < 2, c)
+
+
 def candidates(text: str, names: list[str] | None = None) -> Column:
     """The spans of every detector, parties first, in a fixed order of detectors."""
     parts = [detector_sql(text, d, 100 + i) for i, d in enumerate(DETECTORS)]
@@ -195,4 +218,5 @@ def resolve_sql(spans: str, reserved: str | None = None) -> str:
     greedy = (
         f"aggregate({keyed}, {NO_SPANS}, (a, k) -> if(exists(a, o -> k.s.start < o.end and o.start < k.s.end), a, concat(a, array(k.s))))"
     )
-    return f"array_sort({greedy})"
+    alone = f"size(array_distinct(transform({usable}, s -> s.ord))) <= 1"  # one detector's spans never overlap
+    return f"if({alone}, {usable}, array_sort({greedy}))"

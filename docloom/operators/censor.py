@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ KEY = ["doc_id", "block_index", "cell_row", "cell_col"]
 
 def with_candidates(fields: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Fields with ``candidates``: the spans of all detectors."""
-    return fields.withColumn("candidates", S.candidates("text", names))
+    return fields.withColumn("candidates", S.settled(S.candidates("text", names)))
 
 
 def without_allowed(found: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -31,8 +32,8 @@ def without_allowed(found: DataFrame, allowed: DataFrame) -> DataFrame:
 def resolved(found: DataFrame, reserve_brackets: bool = True) -> DataFrame:
     """Fields with ``spans``: disjoint candidates, none that meets a paired bracket."""
     reserved = "_reserved" if reserve_brackets else None
-    out = found.withColumn("_reserved", F.expr(S.paired_sql("text"))) if reserve_brackets else found
-    return out.withColumn("spans", F.expr(S.resolve_sql("candidates", reserved))).drop("_reserved", "candidates")
+    out = found.withColumn("_reserved", S.settled(F.expr(S.paired_sql("text")))) if reserve_brackets else found
+    return out.withColumn("spans", S.settled(F.expr(S.resolve_sql("candidates", reserved)))).drop("_reserved", "candidates")
 
 
 def detect(fields: DataFrame, names: list[str] | None = None, allowed: DataFrame | None = None) -> DataFrame:
@@ -80,6 +81,7 @@ def substitute_sql(spans: str = "spans", text: str = "text") -> str:
 def censored(found: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
     """Fields with every resolved value replaced by its placeholder. Fields without spans stay out of all shuffles."""
     keys = [c for c in found.columns if c not in ("spans",)]
+    found = found.persist(StorageLevel.MEMORY_AND_DISK)  # detection, the costly part, has three readers
     mapping = placeholders(found) if mapping is None else mapping
     some = found.where(F.size("spans") > 0).withColumn("_row", F.monotonically_increasing_id())
     rows = some.select("doc_id", "_row", F.explode("spans").alias("s")).select("doc_id", "_row", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"))
@@ -114,6 +116,7 @@ def apply_decisions(found: DataFrame, decisions: DataFrame) -> DataFrame:
     added, longest first. Later decisions on a value win. A field keeps spans greedily from the left.
     Fields without a span stay out of the placeholder join.
     """
+    found = found.persist(StorageLevel.MEMORY_AND_DISK)
     confirmed = decisions.where("verdict = 'confirm'")
     by_value = confirmed.where("scope = 'group'").groupBy("doc_id", "value", "user_added").agg(F.max_by("final_type", "seq").alias("label"))
     fields = found.withColumn("_row", F.monotonically_increasing_id())
@@ -138,7 +141,7 @@ def apply_decisions(found: DataFrame, decisions: DataFrame) -> DataFrame:
         f"aggregate({ordered}, named_struct('at', 0, 'out', cast(array() as array<struct<start:int,o:int,end:int,v:string,label:string>>)), "
         "(a, s) -> if(s.start >= a.at, named_struct('at', s.end, 'out', concat(a.out, array(s))), a), a -> a.out)"
     )
-    kept = joined.withColumn("_kept", F.expr(swept)).select("_row", *[c for c in found.columns if c != "spans"], "_kept")
+    kept = joined.withColumn("_kept", S.settled(F.expr(swept))).select("_row", *[c for c in found.columns if c != "spans"], "_kept")
     uses = kept.select("doc_id", "_row", "block_index", "cell_row", "cell_col", F.explode("_kept").alias("k")).select("doc_id", "_row", "block_index", "cell_row", "cell_col", F.col("k.start").alias("start"), F.col("k.end").alias("end"), F.col("k.v").alias("value"), F.col("k.label").alias("label"))
     first = uses.groupBy("doc_id", "value").agg(F.min(F.struct(_position(True).alias("at"), "label")).alias("f")).select("doc_id", "value", F.upper("f.label").alias("label"), F.col("f.at").alias("at"))
     n = F.row_number().over(Window.partitionBy("doc_id", "label").orderBy("at"))

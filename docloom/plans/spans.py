@@ -95,17 +95,17 @@ MAPPING = """
 def _one(d: S.Detector):
     def run(spark, sf_dir):
         f = X.fields(spark, sf_dir)
-        return _shown(f.withColumn("spans", F.expr(S.detector_sql("text", d)))).select(*SHOWN)
+        return _shown(f.withColumn("spans", S.settled(F.expr(S.detector_sql("text", d))))).select(*SHOWN)
 
     return run
 
 
 def entity_guess(spark, sf_dir):
-    return _shown(X.fields(spark, sf_dir).withColumn("spans", F.expr(S.entity_sql("text")))).select(*SHOWN)
+    return _shown(X.fields(spark, sf_dir).withColumn("spans", S.settled(F.expr(S.entity_sql("text"))))).select(*SHOWN)
 
 
 def party_matches(spark, sf_dir):
-    return _shown(X.fields(spark, sf_dir).withColumn("spans", F.expr(S.party_sql("text", PARTIES)))).select(*SHOWN, "value_type")
+    return _shown(X.fields(spark, sf_dir).withColumn("spans", S.settled(F.expr(S.party_sql("text", PARTIES))))).select(*SHOWN, "value_type")
 
 
 def overlap_resolved(spark, sf_dir):
@@ -138,7 +138,7 @@ def review_items(spark, sf_dir):
 
 def sentence_context(spark, sf_dir):
     f = X._cells(X.from_orders(spark, sf_dir, X.LEDGER))
-    o = censor.occurrences(f.withColumn("spans", F.expr(S.detector_sql("text", S.DETECTORS[0]))))
+    o = censor.occurrences(f.withColumn("spans", S.settled(F.expr(S.detector_sql("text", S.DETECTORS[0])))))
     return o.select("doc_id", "block_index", "value", sentence_window(F.col("text"), F.col("start"), F.col("end")).alias("context"))
 
 
