@@ -226,6 +226,19 @@ def decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
     return with_columns(encoded, "doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, bytes binary")
 
 
+def round_trip(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
+    """encode() and decode() in one pass, so that a task needs one worker and one set of tables."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        c = codec(ranks_path)
+        for b in batches:
+            ids = c.encode(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(c.decode(ids), pa.binary())], names=["doc_id", "ids", "bytes"])
+
+    return with_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary, bytes binary")
+
+
 def reference_digest(path: str, texts: list[str | None]) -> list[tuple[int, str]]:
     """(n_tokens, ids_sha256) by the public library, for tests."""
     import public_tokenizers

@@ -33,6 +33,7 @@ def test_bpe_equals_the_public_library(spark):
         if r.doc_id is not None:
             assert (len(r.ids) // 4, hashlib.sha256(r.ids).hexdigest()) == want[r.doc_id]
             assert bytes(r.bytes) == (TEXTS[r.doc_id] or "").encode()
+    assert sorted(map(str, rows)) == sorted(map(str, bpe.round_trip(df).collect()))
     assert bpe.encode(df.limit(0)).count() == 0
 
 
