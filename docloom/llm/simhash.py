@@ -251,12 +251,16 @@ def classes(docs: DataFrame) -> DataFrame:
     return fps.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that are the first of their class, and those without a doc_id, with the columns they came with."""
-    found = settle(classes(docs))
+def keep_first(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """The documents that are the first of their class, and those without a doc_id, with the columns they came with.
+
+    ``found``: doc_id and component_id of another operator; else those of classes().
+    """
+    found = settle(classes(docs) if found is None else found)
     first = found.where("doc_id = component_id")
     repeated = settle(first.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    kept = docs.join(first.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    # Joined by sorting at any size, so that small runs show what large ones shuffle.
+    kept = docs.join(first.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     if not repeated.isEmpty():
         kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
     return kept.unionByName(docs.where("doc_id IS NULL"))
