@@ -58,7 +58,8 @@ class WordTokenizer:
     Ids of pre-tokens are kept in a bounded cache, so a frequent word is encoded
     once; the library encodes all others, many in one call. Latin-1 texts, which
     the tokenizer's normaliser only lower-cases, are cut here; others are cut at
-    spaces and left to the library.
+    spaces and left to the library. Texts that may hold an added token, such as
+    <|endoftext|>, go to the library whole, as it alone tells where these stand.
     """
 
     def __init__(self, path: str):
@@ -66,7 +67,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tk = Tokenizer.from_file(path)
-        self.tk.encode_special_tokens = True
+        self.added = [a.content.lower() for a in self.tk.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
         size = self.tk.get_vocab_size()
         self.sentence_end, self.word_end = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
@@ -94,13 +95,15 @@ class WordTokenizer:
         cache, tail = self.cache, b"" if end_id is None else np.uint32(end_id).tobytes()
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        parts = [_PRETOKEN.findall(t.lower()) if _latin(t) else None for t in (t or "" for t in texts)]
+        lower = [(t or "").lower() for t in texts]
+        whole = [any(a in x for a in self.added) for x in lower]
+        parts = [_PRETOKEN.findall(x) if not w and _latin(t or "") else None for t, x, w in zip(texts, lower, whole, strict=True)]
         new = list(set().union(*filter(None, parts)) - cache.keys())
         self._learn(new)
         get, out = cache.__getitem__, []
-        for t, p in zip(texts, parts, strict=True):
+        for t, p, w in zip(texts, parts, whole, strict=True):
             if p is None:
-                found = self.tk.encode_batch_fast(t.replace("\n", " ").split(" "), add_special_tokens=False)
+                found = self.tk.encode_batch_fast([t] if w else t.replace("\n", " ").split(" "), add_special_tokens=False)
                 out.append(np.array([i for e in found for i in e.ids] + [end_id] * (end_id is not None), dtype="<u4"))
             else:
                 out.append(np.frombuffer(b"".join([*map(get, p), tail]), dtype="<u4"))
