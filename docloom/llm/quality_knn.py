@@ -1,7 +1,8 @@
 """Quality classifier: similarity-weighted votes of the nearest labelled documents in a latent-semantic space.
 
 A document is a bag of word shapes, hashed words and bucketed statistics
-(length, repetition, line length). A bounded sample of labelled rows
+(length, repetition, line length); a word of over ``LONGEST`` characters counts as
+consecutive parts of that length. A bounded sample of labelled rows
 (``SAMPLE``, chosen by a hash of the id) gives inverse document frequencies, a
 truncated singular value decomposition and labelled latent vectors; these, of
 fixed size, go to every task. Every document is projected and compared with all
@@ -33,7 +34,7 @@ from docloom.llm.common import bounded_batches, with_columns
 SAMPLE, DIMENSIONS, NEIGHBOURS, POWER = 4000, 64, 15, 4
 SHAPES, WORDS, STATS = 1024, 1024, 64
 WIDTH = SHAPES + WORDS + STATS
-STAT_WEIGHT, CACHE = 4.0, 400_000
+STAT_WEIGHT, CACHE, LONGEST = 4.0, 400_000, 64
 _RUNS = re.compile(r"(.)\1+")
 _CLASSES = re.compile(r"([A-ZÀ-Þ]+)|([^\W\d_]+)|(\d+)")
 
@@ -44,7 +45,7 @@ def held_out(doc_id: Column) -> Column:
 
 def shape(word: str) -> str:
     """Letters, digits and runs of a word in short: "That***" is "Aa*"."""
-    return _RUNS.sub(r"\1", _CLASSES.sub(lambda m: "A" if m[1] else "a" if m[2] else "0", word[:64]))
+    return _RUNS.sub(r"\1", _CLASSES.sub(lambda m: "A" if m[1] else "a" if m[2] else "0", word))
 
 
 class Features:
@@ -54,7 +55,7 @@ class Features:
         self.cache: dict[str, int] = {}
 
     def code(self, word: str) -> int:
-        return (zlib.crc32(shape(word).encode()) % SHAPES) * WORDS + zlib.crc32(word[:64].lower().strip(".,;:!?").encode()) % WORDS
+        return (zlib.crc32(shape(word).encode()) % SHAPES) * WORDS + zlib.crc32(word.lower().strip(".,;:!?").encode()) % WORDS
 
     def row(self, text: str | None) -> np.ndarray:
         text = text or ""
@@ -64,6 +65,8 @@ class Features:
         try:
             codes = list(map(cache.__getitem__, words))
         except KeyError:
+            if any(len(w) > LONGEST for w in words):  # such words are never in the cache
+                words = [w[at : at + LONGEST] for w in words for at in range(0, len(w), LONGEST)]
             for w in set(words):
                 if w not in cache:
                     cache[w] = self.code(w)

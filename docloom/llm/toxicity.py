@@ -2,7 +2,8 @@
 
 P(grade > k) = sigmoid(w x - t_k): the weights w are shared by all grades, the
 thresholds t_k are ordered. Features are the words of a text and their first four
-and five letters, each present or not. Grades come from the binary labels: 0 for
+and five letters, each present or not; a run of over 64 letters counts as
+consecutive parts of 64. Grades come from the binary labels: 0 for
 rows that are not toxic; a toxic row has grade 1, 2 or 3 by how many different
 words it has that mark toxic rows in the sample (under 3, 3 to 5, 6 or more). The
 expected severity is the sum of P(grade > k); a document is toxic where
@@ -33,12 +34,11 @@ from docloom.llm.common import bounded_batches, with_columns
 
 SAMPLE, SPACE, FEATURES, MIN_ROWS, GRADES = 8000, 1 << 24, 512, 4, 3
 CACHE = 400_000
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]{1,64}")
 
 
-def codes(word: str) -> tuple[int, ...]:
+def codes(w: str) -> tuple[int, ...]:
     """Hashed features of a word in lower case."""
-    w = word[:64]
     made = ("w" + w, "4" + w[:4], "5" + w[:5]) if len(w) > 5 else ("w" + w, "4" + w[:4]) if len(w) > 4 else ("w" + w,)
     return tuple(zlib.crc32(x.encode()) % SPACE for x in made)
 
