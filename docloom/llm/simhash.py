@@ -8,19 +8,24 @@ what can be reached over links.
 2. Two fingerprints within 2 bits agree on one of 3 bands of bits. Nodes meet in
    buckets (band mask, value). A bucket over ``HOT`` nodes is refined: its nodes
    agree on the band, so the rest again has 3 bands of which one agrees. After
-   three levels at most 2**16 nodes can share a bucket, so no bucket is cut.
+   five levels all but 10 bits agree, so at most 2**10 nodes can share a bucket
+   and no bucket is cut.
 3. Within a bucket, nodes are compared bit-sliced: bit b of all lanes lies in one
    packed plane; each lane is compared with the one s places on by an exclusive
    or of planes; saturating counters add the planes by carry-save; a block is
    abandoned once all its lanes exceed the radius. Links join a forest, so a
    bucket returns fewer links than it has nodes.
-4. Classes come from contracting edges towards the smallest doc_id, each round
-   written to the shared folder; nothing is collected.
+4. Classes come from contracting edges towards the smallest doc_id: pointers to
+   the smallest neighbour are doubled until they reach a root, so rounds and the
+   steps of a round grow with the logarithm of a class's size and length. Each
+   step is written to the shared folder and the last one deleted; nothing is
+   collected.
 
 Cases: null and empty texts have fingerprint zero and link like others; a text
 with fewer words than a shingle is one shingle; repeated rows and ties share
 their class; rows without a doc_id take no part in links and have a null class
-(keep_first() keeps them); rows that share a doc_id are one document; an empty
+(keep_first() keeps them); rows that share a doc_id are one document, of which
+keep_first() keeps the row with the smallest text (null first); an empty
 table gives an empty table; extra columns are ignored by classes() and kept by
 keep_first().
 """
@@ -28,16 +33,17 @@ keep_first().
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded_batches, settle, with_columns
+from docloom.llm.common import bounded_batches, discard, settle, with_columns
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
-HOT, LANES = 256, 4096
+HOT, LEVELS, LANES = 256, 5, 4096
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -49,13 +55,12 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     words = _WORD.findall((text or "").translate(_LOWER))
     if not words:
         return 0
-    shingles = list(map(" ".join, zip(*(words[i:] for i in range(width)), strict=False))) or [" ".join(words)]
-    digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(shingles), 8192):
-        h = np.array([digest(s, SEED) for s in shingles[at : at + 8192]], dtype="<u8")
+    digest, counts, n = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64), max(1, len(words) - width + 1)
+    shingles = map(" ".join, zip(*(islice(words, i, None) for i in range(width)), strict=False)) if len(words) >= width else iter([" ".join(words)])
+    for _ in range(0, n, 8192):
+        h = np.array([digest(s, SEED) for s in islice(shingles, 8192)], dtype="<u8")
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(shingles), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,21 +173,21 @@ _signed = lambda x: x - (1 << 64) if x >> 63 else x
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(mask, value, fp, node) rows of buckets with two nodes or more; hot buckets refined for three levels."""
+    """(mask, value, fp, node) rows of buckets with two nodes or more; hot buckets refined, for LEVELS levels at most."""
     level = {0: _bands(_ALL)}
     rows = nodes.select("fp", "node", F.explode(F.array(*[F.lit(_signed(m)) for m in level[0]])).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
     masks, done = level[0], None
-    for depth in range(3):
+    for depth in range(LEVELS):
         counts = rows.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1")
         marked = rows.join(counts, ["mask", "value"])
-        if depth == 2:
+        if depth == LEVELS - 1:
             part = marked
         else:
             marked = settle(marked)
             part = marked.where(F.col("n") <= HOT)
         part = part.select("mask", "value", "fp", "node")
         done = part if done is None else done.unionByName(part)
-        if depth == 2:
+        if depth == LEVELS - 1:
             break
         hot = marked.where(F.col("n") > HOT)
         if hot.isEmpty():
@@ -227,18 +232,28 @@ def links(nodes: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node with an edge: label is the smallest node reachable.
 
-    A round maps each node to the smallest of itself and its neighbours, twice over, and contracts the edges.
+    A round points each node to the smallest of itself and its neighbours, doubles these pointers until all
+    reach a root, and contracts the edges to the roots. Every node but a local minimum is contracted.
     """
     edges = settle(edges)
     labels = settle(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")))
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = settle(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")))
-        up = settle(up.join(up.select(F.col("a").alias("p"), F.col("p").alias("q")), "p").select("a", "q"))
+        up, moving = settle(both.groupBy("a").agg(F.least("a", F.min("b")).alias("q"))), True
+        while moving:
+            next_ = up.select(F.col("a").alias("q"), F.col("q").alias("root"))
+            doubled = settle(up.join(next_, "q").select("a", F.col("root").alias("q"), (F.col("root") < F.col("q")).alias("moved")))
+            moving = not doubled.where("moved").isEmpty()
+            discard(up)
+            up = doubled
+        up = up.select("a", "q")
         first = edges.join(up, "a").select(F.col("q").alias("x"), "b")
         moved = first.join(up.withColumnRenamed("a", "b"), "b").select(F.least("x", "q").alias("a"), F.greatest("x", "q").alias("b"))
-        labels = settle(labels.join(up.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("q", "label").alias("label")))
-        edges = settle(moved.where("a < b").distinct())
+        old, labels = labels, settle(labels.join(up.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("q", "label").alias("label")))
+        rest = settle(moved.where("a < b").distinct())
+        discard(old, edges, doubled)
+        edges = rest
+    discard(edges)
     return labels
 
 
@@ -262,5 +277,8 @@ def keep_first(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     # Joined by sorting at any size, so that small runs show what large ones shuffle.
     kept = docs.join(first.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     if not repeated.isEmpty():
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+        several = kept.join(repeated, "doc_id", "left_semi")
+        order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), F.xxhash64(*docs.columns))
+        one = several.select(F.struct(*docs.columns).alias("_row"), F.row_number().over(order).alias("_place")).where("_place = 1").select("_row.*")
+        kept = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
     return kept.unionByName(docs.where("doc_id IS NULL"))
