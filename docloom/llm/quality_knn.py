@@ -11,7 +11,8 @@ their similarity as weight.
 
 Cases: null and empty texts have only their length bucket and still get a score;
 repeated rows get equal scores; ties between neighbours go by the order of the
-sample, by doc_id; without usable labels every score is 0.5; an empty table
+sample, by doc_id; a labelled doc_id with several texts is one row of the sample,
+the least of its packed rows; without usable labels every score is 0.5; an empty table
 gives an empty table; extra columns are ignored, and labels, lang, source and
 doc_id are never inputs of a score. A row without doc_id counts as held out.
 """
@@ -85,39 +86,52 @@ class Features:
         return out
 
 
+#: Numbers are rounded to multiples of these, so that every sum of products is a whole number under 2**53 times
+#: one unit: exact in doubles, in whatever order and block it is taken.
+_ROW_UNIT, _UNIT = 2.0**-13, 2.0**-20
+
+
+def _whole(x: np.ndarray, unit: float) -> np.ndarray:
+    return np.rint(x.astype(np.float64) / unit)
+
+
 @dataclass(frozen=True)
 class Model:
     idf: np.ndarray  # (WIDTH,)
-    basis: np.ndarray  # (WIDTH, DIMENSIONS)
-    vectors: np.ndarray  # labelled latent vectors of unit length
+    basis: np.ndarray  # (WIDTH, DIMENSIONS), whole multiples of _UNIT
+    vectors: np.ndarray  # labelled latent vectors of unit length, whole multiples of _UNIT
     labels: np.ndarray
 
     def project(self, rows: np.ndarray) -> np.ndarray:
-        x = (rows * self.idf) @ self.basis
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        """Latent vectors of unit length, in whole multiples of _UNIT."""
+        x = _whole(rows * self.idf, _ROW_UNIT) @ self.basis
+        return _whole(x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9), _UNIT)
 
     def scores(self, rows: np.ndarray, neighbours: int = NEIGHBOURS, power: int = POWER) -> np.ndarray:
-        if not len(self.labels):
+        n = len(self.labels)
+        if not n:
             return np.full(len(rows), 0.5)
-        cosine = self.project(rows) @ self.vectors.T
-        k = min(neighbours, len(self.labels))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 1e-3).astype(np.float64) ** power
-        return (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
+        cosine = (self.project(rows) @ self.vectors.T).astype(np.int64)
+        # The cosine and the place in the sample in one number, so no two are equal and ties go to the earlier place.
+        key = cosine * n + np.arange(n - 1, -1, -1)
+        k = min(neighbours, n)
+        key = np.sort(np.partition(key, n - k, axis=1)[:, n - k :], axis=1)[:, ::-1]
+        weight = np.maximum((key // n) * _UNIT**2, 1e-3) ** power
+        return (weight * self.labels[n - 1 - key % n]).sum(axis=1) / weight.sum(axis=1)
 
 
 def fit(rows: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS, seed: int = 3) -> Model:
     """Latent space by subspace iteration on the weighted rows."""
     if not len(rows):
-        return Model(np.ones(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.empty((0, 1), np.float32), np.empty(0))
+        return Model(np.ones(WIDTH, np.float32), np.zeros((WIDTH, 1)), np.empty((0, 1)), np.empty(0))
     idf = np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))).astype(np.float32) + 0.2
     x = rows * idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     basis = np.random.default_rng(seed).normal(size=(WIDTH, min(dimensions, len(rows)))).astype(np.float32)
     for _ in range(8):
         basis, _ = np.linalg.qr(x.T @ (x @ basis))
-    empty = Model(idf, basis, np.empty((0, 1)), np.empty(0))
-    return Model(idf, basis, empty.project(rows), labels.astype(np.float64))
+    empty = Model(idf, _whole(basis, _UNIT), np.empty((0, 1)), np.empty(0))
+    return Model(empty.idf, empty.basis, empty.project(rows), labels.astype(np.float64))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
@@ -131,16 +145,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
     def run(batches):
         features = Features()
         for b in batches:
-            rows = pa.array([features.row(t).astype(np.float16).tobytes() for t in b.column(2).to_pylist()], pa.binary())
+            rows = pa.array([packed(features.row(t)) for t in b.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), rows], names=["doc_id", "quality", "row"])
 
-    # Rows travel as packed half floats: 4 kB each, so the whole sample takes some tens of MB.
-    found = joined.mapInArrow(run, "doc_id bigint, quality int, row binary").limit(2 * sample).collect()
-    found.sort(key=lambda r: (r["doc_id"], bytes(r["row"])))
+    made = joined.mapInArrow(run, "doc_id bigint, quality int, row binary").groupBy("doc_id").agg(F.min(F.struct("quality", "row")).alias("r"))
+    # One row an id: as many as the sample has, 1 or 2 kB each.
+    found = sorted((r["doc_id"], r["r"]["quality"], bytes(r["r"]["row"])) for r in made.collect())
     rows = np.zeros((len(found), WIDTH), np.float32)
-    for i, r in enumerate(found):
-        rows[i] = np.frombuffer(r["row"], np.float16)
-    return rows, np.array([r["quality"] for r in found])
+    for i, (_, _, raw) in enumerate(found):
+        unpack(raw, rows[i])
+    return rows, np.array([q for _, q, _ in found])
+
+
+def packed(row: np.ndarray) -> bytes:
+    """The places and values of a row that are not zero."""
+    at = np.flatnonzero(row)
+    return at.astype("<u2").tobytes() + row[at].astype("<f4").tobytes()
+
+
+def unpack(raw: bytes, row: np.ndarray) -> None:
+    n = len(raw) // 6
+    row[np.frombuffer(raw, "<u2", n)] = np.frombuffer(raw, "<f4", n, 2 * n)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

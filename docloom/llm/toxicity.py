@@ -9,12 +9,14 @@ words it has that mark toxic rows in the sample (under 3, 3 to 5, 6 or more). Th
 expected severity is the sum of P(grade > k); a document is toxic where
 P(grade > 0) is at least one half.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE``, chosen by a
-hash of the id); its weights are a few thousand numbers. Every document is scored
-whole, and nothing is shuffled.
+The model is fitted on a bounded sample of labelled rows (at most about ``SAMPLE``
+rows and ``SAMPLE_BYTES`` bytes, chosen by a hash of the id; near copies among them
+count once, see distinct_rows()); its weights are a few thousand numbers. Every
+document is scored whole, and no text is shuffled.
 
 Cases: null and empty texts have no features and the severity of an empty text,
-never toxic; repeated rows get equal scores; without labels of both kinds nothing
+never toxic; repeated rows get equal scores; a labelled doc_id with several texts
+is one row of the sample, the least; without labels of both kinds nothing
 is toxic; an empty table gives an empty table; extra columns are ignored by
 score() and kept by keep().
 """
@@ -30,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded_batches, with_columns
+from docloom.llm.common import bounded_batches, settle, with_columns
 
 SAMPLE, SPACE, FEATURES, MIN_ROWS, GRADES = 8000, 1 << 24, 512, 4, 3
+#: Feature codes of the sample, at most about this many bytes; a row with a sixteenth of them is not in the sample.
+SAMPLE_BYTES = 64 << 20
 CACHE = 400_000
 _WORD = re.compile(r"[^\W\d_]{1,64}")
 
@@ -147,7 +151,8 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, features: int = FEATURES, ste
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
     usable = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, sample / max(1, usable.count()))
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    chosen = usable.where(place < int(share * 1_000_000))
     joined = with_columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
 
     def run(batches):
@@ -155,9 +160,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
             made = [np.unique(np.array([c for w in words(t) for c in codes(w)], np.int32)).tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["doc_id", "toxic", "codes"])
 
-    # Codes travel as packed bytes: about 2 kB a row, so the whole sample takes a few tens of MB.
-    found = joined.mapInArrow(run, "doc_id bigint, toxic int, codes binary").limit(2 * sample).collect()
-    found.sort(key=lambda r: (r["doc_id"], bytes(r["codes"])))
+    made = settle(joined.mapInArrow(run, "doc_id bigint, toxic int, codes binary").groupBy("doc_id").agg(F.min(F.struct("toxic", "codes")).alias("r")).select("doc_id", "r.*"))
+    # Fewer rows where these are long, by the same hash, so that their bytes are bounded as well.
+    size = F.octet_length("codes")
+    made = made.where(size <= SAMPLE_BYTES // 16)
+    total = made.agg(F.sum(size)).first()[0] or 0
+    found = made.where(place < int(share * min(1.0, SAMPLE_BYTES / max(1, total)) * 1_000_000)).collect()
+    found.sort(key=lambda r: r["doc_id"])
     return [np.frombuffer(r["codes"], np.int32) for r in found], np.array([r["toxic"] for r in found])
 
 
