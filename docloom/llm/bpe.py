@@ -4,8 +4,9 @@ A text is cut into pieces by the tokenizer's pattern. Each distinct piece of a
 batch that is no token itself becomes rows (word, position, token), one per byte; positions run on over a batch.
 A recursive query joins adjacent rows with the table of merges, contracts each
 word's leftmost pair of minimum rank, and ends when no word has a pair left. It
-runs for at most ``ROUNDS`` contractions at a time, so its union stays small even
-for words of many thousand bytes. Decoding joins ids with the vocabulary and
+runs for at most ``ROUNDS`` contractions at a time, so its union stays small.
+A long word is contracted in segments, which are joined where that gives the same
+tokens, so its time grows with its length and not with the square. Decoding joins ids with the vocabulary and
 aggregates their bytes in order.
 
 Pieces already encoded stay in a bounded cache of the worker process.
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame
 from docloom.llm.common import bounded_batches, with_columns
 
 ROUNDS, WORD_BYTES, CACHE_PIECES = 24, 1 << 17, 200_000
+#: Words of over LONG bytes are contracted in segments of SEGMENT bytes, which are then joined.
+LONG, SEGMENT = 256, 64
 #: White space, letters and numbers among the 256 characters of Latin-1.
 _S, _L, _N = "\\t-\\r \\x85\\xa0", "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 #: The pattern's pieces in texts of those characters, which the standard library finds faster.
@@ -86,6 +89,7 @@ class ByteBpe:
         self.con.execute("SET preserve_insertion_order = false")
         tok = np.array(list(self.ranks.values()), np.int64)
         self._table("vocabulary", {"tok": tok, "h": [k.hex() for k in self.ranks]})
+        self.raw = {i: k for k, i in self.ranks.items()}
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.merges = False
 
@@ -137,16 +141,52 @@ class ByteBpe:
                 self.cache[x] = np.uint32(r).tobytes()
             else:
                 todo.append(x)
-        todo.sort(key=lambda x: (len(x), x))
-        at = 0
+        short = [x.encode() for x in todo if len(x) <= LONG and len(x.encode()) <= LONG]
+        long = [x.encode() for x in todo if len(x) > LONG or len(x.encode()) > LONG]
+        for words, made in ((short, self._batched(short)), (long, self._joined(long))):
+            for w, ids in zip(words, made, strict=True):
+                self.cache[w.decode()] = ids.tobytes()
+
+    def _batched(self, words: list[bytes]) -> list[np.ndarray]:
+        """Tokens of each word, equal words once and words of like length together."""
+        todo, at, found = sorted(set(words), key=lambda w: (len(w), w)), 0, {}
         while at < len(todo):
-            words, size = [], 0
-            while at < len(todo) and (not words or size + 4 * len(todo[at]) <= WORD_BYTES):
-                words.append(todo[at].encode())
-                size += len(words[-1])
+            start, size = at, 0
+            while at < len(todo) and (at == start or size + len(todo[at]) <= WORD_BYTES):
+                size += len(todo[at])
                 at += 1
-            for x, ids in zip(todo[at - len(words) : at], self._contract(words), strict=True):
-                self.cache[x] = ids.tobytes()
+            found.update(zip(todo[start:at], self._contract(todo[start:at]), strict=True))
+        return [found[w] for w in words]
+
+    def _joined(self, words: list[bytes]) -> list[np.ndarray]:
+        """Tokens of long words, from segments that are contracted apart and joined two by two.
+
+        A list of tokens is what contraction gives exactly if the bytes of each two neighbours contract to these
+        two: the first contraction over a border would else happen in the two alone as well. So two segments
+        join by contracting a few tokens on both sides of the border anew; where the outermost of these come out
+        as they were, all neighbours are such pairs. Where not, more tokens are taken.
+        """
+        if not words:
+            return []
+        cut = [[w[a : a + SEGMENT] for a in range(0, len(w), SEGMENT)] for w in words]
+        made = iter(self._batched([x for c in cut for x in c]))
+        parts = [[next(made) for _ in c] for c in cut]
+        raw = self.raw
+        while any(len(p) > 1 for p in parts):
+            joined: dict[tuple[int, int], np.ndarray] = {}
+            open_, k = [(w, i) for w, p in enumerate(parts) for i in range(0, len(p) - 1, 2)], 4
+            while open_:
+                sides = [(parts[w][i], parts[w][i + 1]) for w, i in open_]
+                middle = self._batched([b"".join(raw[t] for t in (*a[-k:].tolist(), *b[:k].tolist())) for a, b in sides])
+                rest = []
+                for at, (a, b), m in zip(open_, sides, middle, strict=True):
+                    if (k >= len(a) or m[0] == a[-k]) and (k >= len(b) or m[-1] == b[k - 1]):
+                        joined[at] = np.concatenate([a[: max(0, len(a) - k)], m, b[k:]])
+                    else:
+                        rest.append(at)
+                open_, k = rest, 2 * k
+            parts = [[joined.get((w, i), p[i]) for i in range(0, len(p), 2)] for w, p in enumerate(parts)]
+        return [p[0] for p in parts]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
