@@ -4,9 +4,10 @@ A template is parsed into a syntax tree, constants are folded, and each node
 becomes a Python closure. A rendering is a lazy sequence of (text, in_generation)
 pieces, so conversations of any length stream through in bounded memory.
 
-The language: ``{{ expression }}``, ``{% if %}/{% elif %}/{% else %}/{% endif %}``,
+The language: ``{# remark #}``, ``{{ expression }}``, ``{% if %}/{% elif %}/{% else %}/{% endif %}``,
 ``{% for x in expression %}/{% endfor %}`` (with loop.index, loop.first and
-loop.last), ``{% set x = expression %}`` and ``{% generation %}/{% endgeneration %}``.
+loop.last), ``{% set x = expression %}`` and ``{% generation %}/{% endgeneration %}``;
+a hyphen inside a marker, as in ``{%-`` or ``-}}``, drops the white space on its side.
 Expressions: strings, integers, true, false, none, names, keys of mappings
 (a.b, a['b']), + == != < > <= >= in, and, or, not, parentheses, and the filters
 upper, lower, trim, title, length, default(x) and escape(marks...). There are no
@@ -16,11 +17,13 @@ names, so a template cannot reach anything but its inputs.
 Cases: null text or role counts as empty; rows of one conversation go by turn,
 ties by role and text; repeated rows are repeated turns; a null conv_id is a
 conversation of its own; an empty table gives an empty table; extra columns are
-ignored.
+ignored. A conversation, or a turn, of any length is written and read in parts of
+``PART_CHARS`` characters; a task holds one turn's text at a time, as its row does.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import operator
 import re
@@ -136,7 +139,8 @@ class Generation:
     body: tuple
 
 
-_PART = re.compile(r"\{\{(.*?)\}\}|\{%-?(.*?)-?%\}", re.S)
+_QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+_PART = re.compile(rf"(?P<trim>\s*(?=\{{[{{%#]-))?(?:\{{\{{-?(?P<out>(?:{_QUOTED}|(?!-?\}}\}}).)*)(?P<o>-?)\}}\}}|\{{%-?(?P<tag>(?:{_QUOTED}|(?!-?%\}}).)*)(?P<t>-?)%\}}|\{{#.*?(?P<c>-?)#\}})", re.S)
 _TOKEN = re.compile(r"""\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-+<>|().,\[\]]))""", re.S)
 _STRING_ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
@@ -262,11 +266,16 @@ class _Expressions:
 def parse(source: str) -> tuple:
     """The template's syntax tree."""
     parts, at = [], 0
-    for m in _PART.finditer(source):
+    while m := _PART.search(source, at):
         if m.start() > at:
             parts.append(("text", source[at : m.start()]))
-        parts.append(("out", m[1]) if m[1] is not None else ("tag", m[2].strip()))
+        if m["out"] is not None:
+            parts.append(("out", m["out"]))
+        elif m["tag"] is not None:
+            parts.append(("tag", m["tag"].strip()))
         at = m.end()
+        if m["o"] or m["t"] or m["c"]:
+            at += len(source[at:]) - len(source[at:].lstrip())
     if at < len(source):
         parts.append(("text", source[at:]))
     position = 0
@@ -327,7 +336,12 @@ def fold(node):
         return tuple(out)
     if isinstance(node, Apply):
         args = tuple(map(fold, node.args))
-        return Const(node.fn(*(a.value for a in args))) if all(isinstance(a, Const) for a in args) else Apply(node.fn, args)
+        if not all(isinstance(a, Const) for a in args):
+            return Apply(node.fn, args)
+        try:
+            return Const(node.fn(*(a.value for a in args)))
+        except (TypeError, ValueError) as e:
+            raise TemplateError(f"a constant expression has no value: {e}") from e
     if isinstance(node, Logic):
         left, right = fold(node.left), fold(node.right)
         if isinstance(left, Const):
@@ -465,8 +479,9 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, partitions:
             for conv, group in _conversations(batches, 4):
                 messages = ({"turn": t, "role": r or "", "text": x or ""} for _, t, r, x in group)
                 n, text, size, mask = 0, [], 0, []
-                for piece, on in render(messages=messages):
-                    if on and piece:
+                pieces = ((p[a : a + PART_CHARS], on) for p, on in render(messages=messages) for a in range(0, len(p), PART_CHARS))
+                for piece, on in pieces:
+                    if on:
                         if mask and mask[-1]["end"] == size:
                             mask[-1]["end"] = size + len(piece)
                         else:
@@ -496,29 +511,58 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, partitions:
     return rows.mapInArrow(run, PARTS)
 
 
-_TURN = re.compile(r"### ((?:\\.|(?!: )[^\\])*): ((?:\\.|(?!</turn>\n)[^\\])*)</turn>\n", re.S)
 READ = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
 
 class _Reader:
-    """Reads one conversation back from its parts and keeps running digests."""
+    """Reads one conversation back from its parts and keeps running digests; holds no more than a part and a mark."""
+
+    #: What ends each state: the mark of a turn, its role, its text.
+    ENDS = ("### ", ": ", "</turn>\n")
 
     def __init__(self):
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
-        self.n = self.loss_chars = self.chars = 0
-        self.buffer, self.masked, self.pending = "", [], ""
+        self.n = self.loss_chars = self.chars = self.state = 0
+        self.buffer, self.pending = "", ""
 
     def add(self, text: str, mask: list[dict]) -> None:
         for m in mask:
             self.add_loss(text[m["start"] : m["end"]])
         self.chars += len(text)
-        self.buffer += text
-        at = 0
-        while m := _TURN.match(self.buffer, at):
-            self.turns.update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
-            self.n += 1
-            at = m.end()
-        self.buffer = self.buffer[at:]
+        s, at = self.buffer + text, 0
+        while at < len(s):
+            mark = self.ENDS[self.state]
+            end = self._end(s, at, mark)
+            to = end if end >= 0 else self._whole(s, at, max(at, len(s) - len(mark) + 1))
+            if self.state:
+                self.turns.update(unescape(s[at:to]).encode())
+            elif to > at:
+                raise ValueError(f"{s[at : at + 80]!r} begins no turn")
+            at = to
+            if end < 0:
+                break
+            at += len(mark)
+            if self.state:
+                self.turns.update(b"\n")
+            self.n += self.state == 2
+            self.state = (self.state + 1) % 3
+        self.buffer = s[at:]
+
+    @staticmethod
+    def _end(s: str, at: int, mark: str) -> int:
+        """Place of the first mark from ``at`` on that no backslash escapes, or -1."""
+        found = s.find(mark, at)
+        while found >= 0 and _Reader._whole(s, at, found) != found:
+            found = s.find(mark, found + 1)
+        return found
+
+    @staticmethod
+    def _whole(s: str, at: int, to: int) -> int:
+        """``to``, or one less where that would part a backslash from what it escapes."""
+        run = to
+        while run > at and s[run - 1] == "\\":
+            run -= 1
+        return to - (to - run) % 2
 
     def add_loss(self, s: str) -> None:
         """A span may end between a backslash and what it escapes."""
@@ -530,7 +574,7 @@ class _Reader:
         self.loss.update(plain.encode())
 
     def row(self, conv) -> tuple:
-        if self.buffer or self.pending:
+        if self.buffer or self.pending or self.state:
             raise ValueError(f"conversation {conv}: {self.buffer[:80]!r} is no whole turn")
         return conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
@@ -556,3 +600,16 @@ def read_back(parts: DataFrame) -> DataFrame:
 
 
 _READ = pa.schema([(x.split()[0], pa.int64() if x.endswith("bigint") else pa.string()) for x in READ.split(", ")])
+
+
+def oracle(said: str) -> str:
+    """The rows of the query over ``conversations`` and conversation -7, in DuckDB SQL: digests of the turns as they are, without rendering."""
+    escaped = lambda c, *more: functools.reduce(lambda x, m: f"replace({x}, '{m}', '\\{m}')", (*CONTROL, *more), f"replace({c}, '\\', '\\\\')")
+    return f"""
+    WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '{said}' UNION ALL SELECT -7, 1, 'assistant', '{said}'),
+    t AS (SELECT *, coalesce(role, '') AS r, coalesce(text, '') AS x, coalesce(role = 'assistant', false) AS own FROM c)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)) AS turns_sha256,
+      CAST(coalesce(sum(length(x)) FILTER (own), 0) AS BIGINT) AS loss_chars,
+      sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (own), '')) AS loss_sha256,
+      CAST(sum(length('### ') + length({escaped('r', ': ')}) + length(': ') + length({escaped('x')}) + length('</turn>') + 1) AS BIGINT) AS formatted_chars
+    FROM t GROUP BY conv_id"""

@@ -31,9 +31,12 @@ def op5_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: What both turns of conversation -7 say.
+SAID = "\\### Assistant: </turn> ok"
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = "\\### Assistant: </turn> ok"
-    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    own = spark.createDataFrame([(-7, 0, "user", SAID), (-7, 1, "assistant", SAID)], "conv_id bigint, turn bigint, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     return chat.read_back(chat.format_conversations(turns))
 
@@ -68,6 +71,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.oracle(),
+        "op6_chat_format": chat.oracle(SAID),
         "op9_topk_search": topk.oracle(),
         "op10_warc_fixity": warc.oracle(),
     }
