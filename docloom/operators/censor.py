@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,14 +18,13 @@ def with_candidates(fields: DataFrame, names: list[str] | None = None) -> DataFr
 def without_allowed(found: DataFrame, allowed: DataFrame) -> DataFrame:
     """Candidates whose exact value is on the allow-list go, before overlaps are resolved, so that others may win.
 
-    The list, of known-safe values, is joined by value; no side is collected.
+    The list, of known-safe values, is joined by value; no side is collected. What it has of a document's
+    values comes back by doc_id, so no field needs a number of its own.
     """
-    keys = [c for c in found.columns if c != "candidates"]
-    numbered = found.withColumn("_row", F.monotonically_increasing_id())
-    hit = numbered.select("_row", F.explode("candidates").alias("c")).select("_row", F.col("c.value").alias("value")).distinct()
-    safe = hit.join(allowed.select("value").distinct(), "value", "left_semi").groupBy("_row").agg(F.collect_set("value").alias("_safe"))
+    values = found.select("doc_id", F.explode("candidates.value").alias("value")).distinct()
+    safe = values.join(allowed.select("value").distinct(), "value", "left_semi").groupBy("doc_id").agg(F.collect_set("value").alias("_safe"))
     kept = F.expr("if(_safe is null, candidates, filter(candidates, c -> not array_contains(_safe, c.value)))")
-    return numbered.join(safe, "_row", "left").select(*keys, kept.alias("candidates"))
+    return found.join(safe, "doc_id", "left").select(*[c for c in found.columns if c != "candidates"], kept.alias("candidates")).select(*found.columns)
 
 
 def resolved(found: DataFrame, reserve_brackets: bool = True) -> DataFrame:
@@ -78,16 +76,23 @@ def substitute_sql(spans: str = "spans", text: str = "text") -> str:
     return f"if(size({spans}) = 0, {text}, aggregate({spans}, named_struct('at', 0, 'out', ''), (a, s) -> {step}, a -> concat(a.out, substring({text}, a.at + 1))))"
 
 
+def _by_value(mapping: DataFrame) -> DataFrame:
+    """doc_id and ``_names``: a map from a document's values to their placeholders."""
+    rows = mapping.where("value IS NOT NULL").select("doc_id", F.struct("value", "placeholder").alias("e"))
+    return rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list("e")).alias("_names"))
+
+
+def _put(spans: str, value: str) -> Column:
+    """The text with the placeholders of ``_names`` in place of the spans whose value has one."""
+    named = f"transform(filter({spans}, s -> map_contains_key(_names, s.{value})), s -> named_struct('start', s.start, 'end', s.end, 'placeholder', _names[s.{value}]))"
+    return F.expr(f"if(_names is null or size({spans}) = 0, text, transform(array({named}), x -> {substitute_sql('x')})[0])")
+
+
 def censored(found: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
-    """Fields with every resolved value replaced by its placeholder. Fields without spans stay out of all shuffles."""
-    keys = [c for c in found.columns if c not in ("spans",)]
-    found = found.persist(StorageLevel.MEMORY_AND_DISK)  # detection, the costly part, has three readers
-    mapping = placeholders(found) if mapping is None else mapping
-    some = found.where(F.size("spans") > 0).withColumn("_row", F.monotonically_increasing_id())
-    rows = some.select("doc_id", "_row", F.explode("spans").alias("s")).select("doc_id", "_row", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"))
-    named = rows.join(mapping.select("doc_id", "value", "placeholder"), ["doc_id", "value"]).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "placeholder"))).alias("_s"))
-    done = some.drop("spans").join(named, "_row").withColumn("text", F.expr(substitute_sql("_s"))).select(*keys)
-    return found.where(F.size("spans") == 0).select(*keys).unionByName(done)
+    """Fields with every resolved value replaced by its placeholder: one map per document, joined by doc_id, and one rebuild in place."""
+    names = _by_value(placeholders(found) if mapping is None else mapping)
+    columns = [_put("spans", "value").alias("text") if c == "text" else F.col(c) for c in found.columns if c != "spans"]
+    return found.join(names, "doc_id", "left").select(*columns)
 
 
 def review_items(found: DataFrame) -> DataFrame:
@@ -114,23 +119,23 @@ def apply_decisions(found: DataFrame, decisions: DataFrame) -> DataFrame:
     occurrence its block_index, cell_row, cell_col, start and end. Three kinds of spans meet: detected spans
     of confirmed groups, occurrences at their offsets, and literal occurrences of values that reviewers
     added, longest first. Later decisions on a value win. A field keeps spans greedily from the left.
-    Fields without a span stay out of the placeholder join.
+    A document's decisions are gathered in one row and joined by doc_id; spans are made and swept in place.
     """
-    found = found.persist(StorageLevel.MEMORY_AND_DISK)
     confirmed = decisions.where("verdict = 'confirm'")
-    by_value = confirmed.where("scope = 'group'").groupBy("doc_id", "value", "user_added").agg(F.max_by("final_type", "seq").alias("label"))
-    fields = found.withColumn("_row", F.monotonically_increasing_id())
-    spans = fields.select("_row", "doc_id", F.explode("spans").alias("s")).select("_row", "doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"))
-    groups = spans.join(by_value.where("not user_added").drop("user_added"), ["doc_id", "value"]).select("_row", F.struct(F.lit(0).alias("o"), "start", "end", F.col("value").alias("v"), "label").alias("s"))
-    at = confirmed.where("scope = 'occurrence'").select("doc_id", *[F.col(c).alias(f"_{c}") for c in KEY[1:]], F.col("start").alias("_start"), F.col("end").alias("_end"), "final_type")
-    same = [fields["doc_id"] == at["doc_id"], *[fields[c].eqNullSafe(at[f"_{c}"]) for c in KEY[1:]]]
-    single = fields.join(at, same).select("_row", F.struct(F.lit(0).alias("o"), F.col("_start").alias("start"), F.col("_end").alias("end"), F.substr("text", F.col("_start") + 1, F.col("_end") - F.col("_start")).alias("v"), F.col("final_type").alias("label")).alias("s"))
-    added = by_value.where("user_added and value <> ''").select("doc_id", F.col("value").alias("_value"), "label")
-    literal = fields.join(added, "doc_id").where("instr(text, _value) > 0").select("_row", "_value", "label", F.explode(F.expr(S.literal_spans_sql("text", "_value"))).alias("p"))
-    literal = literal.select("_row", F.struct((F.lit(1 << 30) - F.length("_value")).alias("o"), F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("_value").alias("v"), "label").alias("s"))
-    every = groups.unionByName(single).unionByName(literal).groupBy("_row").agg(F.sort_array(F.collect_list("s")).alias("_all"))
+    by_value = confirmed.where("scope = 'group' AND value IS NOT NULL").groupBy("doc_id", "value", "user_added").agg(F.max_by("final_type", "seq").alias("label"))
+    entry = F.struct("value", "label")
+    groups = F.map_from_entries(F.collect_list(F.when(~F.col("user_added"), entry))).alias("_groups")
+    added = F.collect_list(F.when(F.col("user_added") & (F.col("value") != ""), entry)).alias("_added")
+    single = F.collect_list(F.struct(*KEY[1:], "start", "end", F.col("final_type").alias("label"))).alias("_single")
+    decided = by_value.groupBy("doc_id").agg(groups, added).join(confirmed.where("scope = 'occurrence'").groupBy("doc_id").agg(single), "doc_id", "full")
     kind = "array<struct<o:int,start:int,end:int,v:string,label:string>>"
-    joined = fields.join(every, "_row").withColumn("_reserved", F.expr(S.paired_sql("text")))
+    span = lambda o, start, end, v, label: f"named_struct('o', {o}, 'start', {start}, 'end', {end}, 'v', {v}, 'label', {label})"
+    same = " and ".join(f"x.{c} <=> {c}" for c in KEY[1:])
+    of_groups = f"transform(filter(spans, s -> map_contains_key(_groups, s.value)), s -> {span('0', 's.start', 's.end', 's.value', '_groups[s.value]')})"
+    of_single = f"transform(filter(_single, x -> {same}), x -> {span('0', 'x.start', 'x.end', 'substring(text, x.start + 1, x.end - x.start)', 'x.label')})"
+    literal = f"transform({S.literal_spans_sql('text', 'w.value')}, p -> {span('(1 << 30) - length(w.value)', 'p.start', 'p.end', 'w.value', 'w.label')})"
+    of_added = f"flatten(transform(filter(_added, w -> instr(text, w.value) > 0), w -> {literal}))"
+    every = ", ".join(f"coalesce({x}, cast(array() as {kind}))" for x in (of_groups, of_single, of_added))
     # Added values claim what is neither reserved nor taken; then the whole field is swept from the left.
     claimed = (
         f"aggregate(_all, cast(array() as {kind}), (a, s) -> if(s.o > 0 and (exists(_reserved, r -> s.start < r.end and r.start < s.end) "
@@ -141,15 +146,11 @@ def apply_decisions(found: DataFrame, decisions: DataFrame) -> DataFrame:
         f"aggregate({ordered}, named_struct('at', 0, 'out', cast(array() as array<struct<start:int,o:int,end:int,v:string,label:string>>)), "
         "(a, s) -> if(s.start >= a.at, named_struct('at', s.end, 'out', concat(a.out, array(s))), a), a -> a.out)"
     )
-    kept = joined.withColumn("_kept", S.settled(F.expr(swept))).select("_row", *[c for c in found.columns if c != "spans"], "_kept")
-    uses = kept.select("doc_id", "_row", "block_index", "cell_row", "cell_col", F.explode("_kept").alias("k")).select("doc_id", "_row", "block_index", "cell_row", "cell_col", F.col("k.start").alias("start"), F.col("k.end").alias("end"), F.col("k.v").alias("value"), F.col("k.label").alias("label"))
+    joined = found.join(decided, "doc_id", "left").withColumn("_all", S.settled(F.expr(f"array_sort(concat({every}))"))).withColumn("_reserved", F.expr(S.paired_sql("text")))
+    kept = joined.withColumn("_kept", S.settled(F.expr(swept))).select(*[c for c in found.columns if c != "spans"], "_kept")
+    uses = kept.select(*KEY, F.explode("_kept").alias("k")).select(*KEY, F.col("k.start").alias("start"), F.col("k.v").alias("value"), F.col("k.label").alias("label"))
     first = uses.groupBy("doc_id", "value").agg(F.min(F.struct(_position(True).alias("at"), "label")).alias("f")).select("doc_id", "value", F.upper("f.label").alias("label"), F.col("f.at").alias("at"))
     n = F.row_number().over(Window.partitionBy("doc_id", "label").orderBy("at"))
-    names = first.select("doc_id", "value", F.format_string("REDACTED_%s_%03d", "label", n).alias("placeholder"))
-    put = uses.join(names, ["doc_id", "value"]).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "placeholder"))).alias("_s"))
-    columns = [c for c in found.columns if c != "spans"]
-    done = kept.drop("_kept").join(put, "_row", "left")
-    text = F.expr(f"if(_s is null, text, {substitute_sql('_s')})")
-    changed = done.withColumn("text", text).select(*columns)
-    untouched = fields.join(every.select("_row"), "_row", "left_anti").select(*columns)
-    return untouched.unionByName(changed)
+    names = _by_value(first.select("doc_id", "value", F.format_string("REDACTED_%s_%03d", "label", n).alias("placeholder")))
+    columns = [_put("_kept", "v").alias("text") if c == "text" else F.col(c) for c in found.columns if c != "spans"]
+    return kept.join(names, "doc_id", "left").select(*columns)

@@ -11,10 +11,10 @@ ORDER = ("doc_id", "block_index", "cell_row", "cell_col")
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """Blocks of plain texts: split at blank lines, line breaks kept inside, no headings; empty texts have none."""
-    clean = F.regexp_replace("text", "\r\n?", "\n")
-    runs = F.split(clean, r"\n(?:[\s&&[^\n]]*\n)+")
-    trimmed = F.transform(runs, lambda r: F.regexp_replace(r, r"^(?:[\s&&[^\n]]*\n)+|(?:\n[\s&&[^\n]]*)+$", ""))
-    kept = F.filter(trimmed, lambda r: F.trim(F.regexp_replace(r, r"\s", "")) != "")
+    clean = F.regexp_replace("text", "\r\n", "\n")
+    runs = F.split(clean, r"(?U)\n(?:[\s&&[^\n]]*\n)+")
+    trimmed = F.transform(runs, lambda r: F.regexp_replace(r, r"(?U)^(?:[\s&&[^\n]]*\n)+|(?:\n[\s&&[^\n]]*)+$", ""))
+    kept = F.filter(trimmed, lambda r: F.regexp_replace(r, r"(?U)\s", "") != "")
     none = F.lit(None)
     return docs.select("doc_id", F.posexplode(kept).alias("block_index", "text")).select(
         "doc_id", "block_index", F.lit("paragraph").alias("kind"), none.cast("tinyint").alias("level"), "text", none.cast("array<array<string>>").alias("rows")

@@ -140,10 +140,10 @@ def suggestions(scored: DataFrame, reasons: DataFrame, tuned: DataFrame) -> Data
     return joined.select("task", "seq", positive.alias("predicted"), "proba", F.when(sure, F.col("reason")).alias("predicted_reason"), F.when(sure, F.col("reason_score")).alias("predicted_reason_score"))
 
 
-def suggestion_line() -> Column:
-    """A readable suggestion: verdict, per cent, and the reason if there is one."""
-    percent = F.concat(F.round(F.col("proba") * 100).cast("int").cast("string"), F.lit("%"))
-    return F.concat(F.lit("suggest "), F.when(F.col("predicted"), "positive").otherwise("negative"), F.lit(" ("), percent, F.lit(")"), F.coalesce(F.concat(F.lit(": "), F.col("predicted_reason")), F.lit("")))
+def suggestion_line(positive: str = "censor", negative: str = "leave in clear") -> Column:
+    """The line that shows a prediction; null without one. A positive one has its reason, or says that it is uncertain."""
+    reason = F.coalesce(F.col("predicted_reason"), F.lit("(reason uncertain)"))
+    return F.when(F.col("predicted"), F.concat(F.lit(f"suggestion: {positive} — "), reason)).when(~F.col("predicted"), F.lit(f"suggestion: {negative}"))
 
 
 def tail(log: DataFrame, n: int = WINDOW) -> DataFrame:
@@ -166,12 +166,16 @@ def meter(log: DataFrame, n: int = WINDOW) -> DataFrame:
     return out.withColumn("balanced_accuracy", F.when(enough, accuracy))
 
 
-def meter_text() -> Column:
-    """The meter's lines."""
-    head = F.when(F.col("balanced_accuracy").isNull(), F.format_string("%s: not enough predictions yet (%d of %d)", "task", "rows", F.lit(WINDOW))).otherwise(
-        F.format_string("%s: balanced accuracy %.1f%% over the last %d", "task", F.col("balanced_accuracy") * 100, "rows")
+def meter_text(negative: str = "reject", positive: str = "confirm") -> Column:
+    """The meter's lines, with the words of the two classes."""
+    line = lambda pattern, *values: F.format_string(pattern, *[F.col(v) if isinstance(v, str) else v for v in values])
+    score = F.when(F.col("balanced_accuracy").isNotNull(), line("\n  balanced accuracy: %.1f%%", F.col("balanced_accuracy") * 100)).otherwise(
+        line(f"\n  not enough data yet (need {WINDOW} predictions and {MIN_POSITIVES} positives; have %d, %d positive)", "rows", "positives")
     )
-    return F.concat(head, F.format_string("\n  positives %d/%d, negatives %d/%d", "positive_hits", "positives", "negative_hits", "negatives"), F.when(F.col("reasons") > 0, F.format_string("\n  reasons %d/%d", "reason_hits", "reasons")).otherwise(""))
+    classes = line(f"\n  {negative} %d/%d · {positive} %d/%d (positives: %d)", "negative_hits", "negatives", "positive_hits", "positives", "positives")
+    reasons = F.when(F.col("reasons") == 0, "\n  reason: (no confident reason predictions yet)").otherwise(line("\n  reason: %d/%d correct", "reason_hits", "reasons"))
+    rest = F.when(F.col("rows") == 0, "\n  no predictions logged yet — review some items first").otherwise(F.concat(score, classes, reasons))
+    return F.concat(line("%s model — last %d prediction(s)", "task", "rows"), rest)
 
 
 def train(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

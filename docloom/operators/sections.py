@@ -50,23 +50,39 @@ def ranges(hits: DataFrame) -> DataFrame:
 def snippet_index(hits: DataFrame, blocks: DataFrame) -> DataFrame:
     """Snippet files of a document: id, range, whether to review, and a path with a unique slug per folder.
 
-    Slugs that collide get -2, -3, ... in order. A suffixed slug may collide with a plain one; that is
-    settled per document and slug family in order, as one aggregate over its ranges.
+    A slug that is taken gets the first free of -2, -3, ... in order of ranges. Most slugs are no other
+    slug with a number, and then their count is their number, by a window. Only where a slug stands beside
+    one that it could be a suffixed form of (pay and pay-2) does the order of the whole family count.
     """
     opening = blocks.where("kind <> 'table'").select("doc_id", F.col("block_index").alias("_b"), "text")
     found = ranges(hits)
+    # A range's text is that of its first block that is no table: within one block the block itself.
     texts = found.join(opening, (found["doc_id"] == opening["doc_id"]) & opening["_b"].between(found["block_index"], found["end_block"]), "left")
     texts = texts.groupBy(found["doc_id"], "block_index", "end_block", "n", "id", "needs_review", "is_cross").agg(F.min_by("text", "_b").alias("text"))
-    named = texts.withColumn("slug", slug(F.coalesce("text", F.lit(""))))
+    named = texts.withColumn("slug", slug(F.coalesce("text", F.lit("")))).withColumn("family", F.regexp_replace("slug", "(?:-[0-9]+)+$", ""))
+    folder = ["doc_id", "is_cross"]
+    mixed = (F.min("slug").over(Window.partitionBy(*folder, "family")) != F.max("slug").over(Window.partitionBy(*folder, "family"))).alias("mixed")
+    rows = named.select("*", mixed)
+    k = F.row_number().over(Window.partitionBy(*folder, "slug").orderBy("n"))
+    plain = rows.where("not mixed").withColumn("name", F.when(k == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), k)))
+    # A family in order: the names taken so far, and for each slug the last number it was given.
     order = F.sort_array(F.collect_list(F.struct("n", "slug", "block_index", "end_block", "id", "needs_review")))
-    # Greedy naming in order of ranges within a folder of a document.
-    free = "element_at(filter(sequence(1, size(a) + 1), k -> not exists(a, x -> x.name = if(k = 1, r.slug, concat(r.slug, '-', k)))), 1)"
-    made = f"transform(array({free}), k -> if(k = 1, r.slug, concat(r.slug, '-', k)))[0]"
-    kind = "array<struct<name:string,block_index:int,end_block:int,id:string,needs_review:boolean>>"
-    names = F.expr(f"aggregate(_r, cast(array() as {kind}), (a, r) -> concat(a, array(named_struct('name', {made}, 'block_index', r.block_index, 'end_block', r.end_block, 'id', r.id, 'needs_review', r.needs_review))))")
-    rows = named.groupBy("doc_id", "is_cross").agg(order.alias("_r")).select("doc_id", "is_cross", F.explode(names).alias("x"))
-    path = F.concat(F.when(F.col("is_cross"), "snippets/cross-paragraph/").otherwise("snippets/"), F.col("x.name"), F.lit(".md"))
-    return rows.select("doc_id", F.col("x.id").alias("id"), F.col("x.block_index").alias("block_index"), F.col("x.end_block").alias("end_block"), F.col("x.needs_review").alias("needs_review"), path.alias("path"))
+    last = "coalesce(a.last[r.slug], 0)"
+    free = f"element_at(filter(sequence({last} + 1, {last} + size(a.taken) + 1), k -> not map_contains_key(a.taken, if(k = 1, r.slug, concat(r.slug, '-', k)))), 1)"
+    name = "if(k = 1, r.slug, concat(r.slug, '-', k))"
+    step = (
+        f"transform(array({free}), k -> named_struct('taken', map_concat(a.taken, map({name}, true)), "
+        f"'last', map_concat(map_filter(a.last, (x, y) -> x <> r.slug), map(r.slug, k)), "
+        f"'out', concat(a.out, array(named_struct('name', {name}, 'r', r)))))[0]"
+    )
+    item = "struct<n:int,slug:string,block_index:int,end_block:int,id:string,needs_review:boolean>"
+    zero = f"named_struct('taken', cast(map() as map<string,boolean>), 'last', cast(map() as map<string,int>), 'out', cast(array() as array<struct<name:string,r:{item}>>))"
+    families = rows.where("mixed").groupBy(*folder, "family").agg(order.alias("_r"))
+    named_families = families.select(*folder, F.explode(F.expr(f"aggregate(_r, {zero}, (a, r) -> {step}, a -> a.out)")).alias("x")).select(*folder, "x.name", "x.r.*")
+    columns = [*folder, "name", "block_index", "end_block", "id", "needs_review"]
+    every = plain.select(*columns).unionByName(named_families.select(*columns))
+    path = F.concat(F.when(F.col("is_cross"), "snippets/cross-paragraph/").otherwise("snippets/"), F.col("name"), F.lit(".md"))
+    return every.select("doc_id", "id", "block_index", "end_block", "needs_review", path.alias("path"))
 
 
 def escape_cell(c: Column) -> Column:

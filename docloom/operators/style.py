@@ -175,11 +175,11 @@ def role(heading_level: Column, num_id: Column, in_table: Column) -> Column:
 
 
 def heading_level(style_id: Column) -> Column:
-    """title is 1; heading<n> is n, from 1 to 6; heading alone is 1; others null. A number over 255 is none."""
+    """title is 1; heading and then, spaces aside, the digits that follow at once: their number, from 1 to 6, and 1 without digits; others, and numbers over 255, are null."""
     low = F.lower(style_id)
-    digits = F.regexp_extract(low, r"^heading ?(\d+)$", 1)
-    n = F.when(F.length(digits) < 10, digits.try_cast("int"))
-    return F.when(low == "title", 1).when(low == "heading", 1).when(n <= 255, F.least(F.greatest(n, F.lit(1)), F.lit(6))).cast("tinyint")
+    digits = F.regexp_extract(low, r"(?U)^heading\s*([0-9]*)", 1)
+    n = F.when(digits == "", 1).when(F.length(F.ltrim(digits, F.lit("0"))) < 4, digits.try_cast("bigint"))
+    return F.when(low == "title", 1).when(low.startswith("heading") & (n <= 255), F.least(F.greatest(n, F.lit(1)), F.lit(6))).cast("tinyint")
 
 
 def inches(twips: Column) -> Column:

@@ -60,11 +60,11 @@ def _run_text(run: ET.Element) -> str:
 
 
 def heading_level(style: str | None) -> int | None:
+    """As style.heading_level(), for the reader."""
     low = (style or "").lower()
-    if low in ("title", "heading"):
-        return 1
-    m = re.fullmatch(r"heading ?(\d+)", low)
-    return min(max(int(m[1]), 1), 6) if m and int(m[1]) <= 255 else None
+    m = re.match(r"heading\s*([0-9]*)", low)
+    n = 1 if low == "title" else int(m[1] or 1) if m else 256
+    return min(max(n, 1), 6) if n <= 255 else None
 
 
 def _paragraph(p: ET.Element) -> dict:
