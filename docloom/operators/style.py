@@ -183,23 +183,67 @@ def heading_level(style_id: Column) -> Column:
 
 
 def inches(twips: Column) -> Column:
-    """Twips as inches with at most two decimals."""
-    s = F.format_string("%.2f", twips / 1440.0)
-    return F.regexp_replace(F.regexp_replace(s, r"0+$", ""), r"\.$", "")
+    """Twips as inches with at most two decimals. Halves that are exact in binary go to the even digit, others up."""
+    value = twips / 1440.0
+    s = F.format_string("%.2f", F.when(twips % 180 == 0, F.bround(value, 2)).otherwise(value))
+    return F.when(twips.isNotNull(), F.concat(F.regexp_replace(F.regexp_replace(s, r"0+$", ""), r"\.$", ""), F.lit('"')))
 
 
 def preview(text: Column, most: int = 100) -> Column:
-    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("…"))).otherwise(text)
+    """The text on one line, cut off after ``most`` characters."""
+    line = F.array_join(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""), " ")
+    return F.when(F.length(line) > most, F.concat(F.left(line, F.lit(most)), F.lit("…"))).otherwise(line)
 
 
-def style_lines(blocks: DataFrame) -> DataFrame:
-    """Readable lines on each block: its role, list place, indent and segments."""
-    listed = F.when(F.col("num_id").isNotNull(), F.concat(F.lit("list "), F.col("num_id").cast("string"), F.lit(", level "), F.coalesce("ilvl", F.lit(0)).cast("string")))
-    indent = F.when(F.col("indent_left").isNotNull(), F.concat(F.lit("indent "), inches(F.col("indent_left")), F.lit("in")))
-    parts = F.transform("segments", lambda s: F.concat(F.lit("“"), preview(s["text"], 40), F.lit("”"), F.when(s["bold"], " bold").otherwise("")))
-    segs = F.when(F.size("segments") >= 2, F.concat(F.lit("segments: "), F.array_join(parts, ", ")))
-    font = F.when(F.col("font").isNotNull(), F.concat(F.lit("font "), F.col("font"), F.coalesce(F.concat(F.lit(" "), points(F.col("size_half_pt")), F.lit("pt")), F.lit(""))))
-    return blocks.select("doc_id", "block_index", preview(F.col("text")).alias("preview"), F.array_join(F.array_compact(F.array(F.col("kind"), listed, indent, font, segs)), "; ").alias("lines"))
+def _joined(separator: str, *parts: Column) -> Column:
+    """What is there of the parts, or null."""
+    some = F.array_compact(F.array(*parts))
+    return F.when(F.size(some) > 0, F.array_join(some, separator))
+
+
+def _optional(df: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+def run_summary(run: Column, fields: list[str]) -> Column:
+    """A run's effective styling in short; ``fields`` are those that the struct has."""
+    has = lambda n: run[n] if n in fields else F.lit(None)
+    flag = lambda n: F.when(has(n).cast("boolean"), n)
+    spacing = has("char_spacing").cast("int")
+    return F.coalesce(
+        _joined(
+            ", ", has("font").cast("string"), F.concat(points(has("size_half_pt").cast("int")), F.lit("pt")), flag("bold"), flag("italic"), F.when(has("underline").isNotNull(), "underline"),
+            flag("strike"), flag("caps"), F.when(spacing != 0, F.concat(F.lit("spacing "), F.when(spacing > 0, "+").otherwise(""), spacing.cast("string"))),
+        ),
+        F.lit("(inherited)"),
+    )
+
+
+def review_lines(blocks: DataFrame) -> DataFrame:
+    """What a reviewer sees of each block: a preview, the line of its list or indent, and the lines of its style.
+
+    A block in a list has a marker (a bullet, or the number format and its template), its level and indent;
+    another block its indent alone. A block of two or more segments has a line for each, another one line with
+    the paragraph style and the run's styling. Columns that blocks lack count as null.
+    """
+    opt = lambda n, k: _optional(blocks, n, k)
+    inch = lambda label, n: F.concat(F.lit(f"{label} "), inches(opt(n, "int")))
+    indent = _joined(", ", inch("left", "indent_left"), inch("hanging", "indent_hanging"), inch("first-line", "indent_first_line"), inch("right", "indent_right"))
+    kind, template = opt("number_kind", "string"), opt("level_text", "string")
+    marker = F.when(F.lower(kind) == "bullet", "bullet").when(kind.isNotNull(), F.concat(kind, F.lit(' ("'), F.coalesce(template, F.lit("")), F.lit('")'))).otherwise("(format unresolved)")
+    listed = opt("num_id", "bigint").isNotNull() | F.coalesce(opt("numbering_unresolved", "boolean"), F.lit(False))
+    in_list = F.concat(F.lit("   list: "), _joined(" · ", marker, F.concat(F.lit("level "), opt("ilvl", "bigint").cast("string")), F.concat(F.lit("indent "), indent)))
+    place = F.when(listed, in_list).otherwise(F.concat(F.lit("   indent: "), indent))
+    element = blocks.schema["segments"].dataType.elementType
+    own = "style" in element.names
+    fields = element["style"].dataType.names if own else element.names
+    summary = lambda s: run_summary(s["style"] if own else s, fields)
+    each = F.concat(F.lit("   segments:\n"), F.array_join(F.transform("segments", lambda s: F.concat(F.lit('     • "'), preview(s["text"]), F.lit('" — '), summary(s))), "\n"))
+    named = F.coalesce(F.concat(opt("style_name", "string"), F.lit(" → ")), F.lit(""))
+    single = F.concat(F.lit("   style: "), named, F.when(F.size("segments") > 0, summary(F.get(F.col("segments"), 0))).otherwise("(inherited)"))
+    unknown = F.coalesce(opt("style_unresolved", "boolean"), F.lit(False))
+    style = F.when(unknown, "   style: unknown (could not resolve the style)").when(F.size("segments") >= 2, each).otherwise(single)
+    return blocks.select("doc_id", "block_index", preview(F.col("text")).alias("preview"), _joined("\n", place, style).alias("lines"))
 
 
 def resolve_chain(styles: DataFrame) -> DataFrame:

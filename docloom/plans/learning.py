@@ -72,9 +72,47 @@ def heading_levels(spark, sf_dir):
     return ids.select("doc_id", "block_index", "style_id", style.heading_level(F.col("style_id")).cast("int").alias("level"))
 
 
-def style_display(spark, sf_dir):
-    b = X.styled(spark, sf_dir)
-    return style.style_lines(b).select("doc_id", "block_index", "preview", "lines")
+#: What review_lines() reads beyond the styled blocks, in SQL that both engines read alike.
+REVIEW = f"""
+SELECT *, CASE WHEN block_index % 14 = 0 THEN 360 END AS indent_hanging, CASE WHEN block_index % 16 = 0 THEN -180 END AS indent_first_line, CASE WHEN block_index % 22 = 0 THEN 1000 END AS indent_right,
+  CASE WHEN ilvl IS NULL THEN NULL WHEN num_id = 1 THEN 'bullet' ELSE 'decimal' END AS number_kind, CASE WHEN ilvl IS NOT NULL THEN '%1.' END AS level_text,
+  CASE WHEN block_index % 19 = 0 THEN 'single' END AS underline, block_index % 21 = 0 AS strike, block_index % 23 = 0 AS caps, CASE WHEN block_index % 25 < 2 THEN CAST(block_index % 25 * 20 - 10 AS INT) END AS char_spacing
+FROM ({X.STYLED})"""
+
+
+def style_review_lines(spark, sf_dir):
+    b = X.from_orders(spark, sf_dir, REVIEW)
+    names = ("font", "size_half_pt", "bold", "italic", "underline", "strike", "caps", "char_spacing")
+    own = F.struct(*names)
+    plain = F.struct(*[F.lit(None).cast(b.schema[n].dataType).alias(n) for n in names])
+    one, two = F.struct("text", own.alias("style")), F.struct(F.lit("b\n c").alias("text"), plain.alias("style"))
+    b = b.withColumn("segments", F.when(F.col("is_mixed"), F.array(one, two)).when(F.col("block_index") % 27 == 0, F.slice(F.array(one), 1, 0)).otherwise(F.array(one)))
+    return style.review_lines(b)
+
+
+def heading_forms(spark, sf_dir):
+    """Style ids with text after the number, without a number, with spaces, and of other styles."""
+    n = lambda m: (F.col("block_index") % m).cast("string")
+    forms = (F.lit("TITLE"), F.concat(F.lit("Heading"), n(9), F.lit("Char")), F.lit("HeadingFoo"), F.concat(F.lit("heading  "), n(9)), F.lit("Subtitle"), F.concat(F.lit("Heading"), n(400)), F.lit("My heading 2"))
+    ids = X.from_orders(spark, sf_dir, X.STYLED).select("doc_id", "block_index", F.get(F.array(*forms), F.col("block_index") % 7).alias("style_id"))
+    return ids.select("doc_id", "block_index", "style_id", style.heading_level(F.col("style_id")).cast("int").alias("level"))
+
+
+def review_sql() -> str:
+    """review_lines() over the same blocks, written from its rules."""
+    inch = lambda label, c: f"'{label} ' || CASE WHEN {c} % 1440 = 0 THEN CAST({c} // 1440 AS VARCHAR) ELSE rtrim(printf('%.2f', {c} / 1440.0), '0') END || chr(34)"
+    indent = f"nullif(concat_ws(', ', {inch('left', 'indent_left')}, {inch('hanging', 'indent_hanging')}, {inch('first-line', 'indent_first_line')}, {inch('right', 'indent_right')}), '')"
+    size = "CASE WHEN size_half_pt % 2 = 0 THEN CAST(size_half_pt // 2 AS VARCHAR) ELSE (size_half_pt // 2) || '.5' END || 'pt'"
+    summary = f"""coalesce(nullif(concat_ws(', ', font, {size}, CASE WHEN bold THEN 'bold' END, CASE WHEN italic THEN 'italic' END, CASE WHEN underline IS NOT NULL THEN 'underline' END, CASE WHEN strike THEN 'strike' END,
+      CASE WHEN caps THEN 'caps' END, CASE WHEN char_spacing <> 0 THEN 'spacing ' || printf('%+d', char_spacing) END), ''), '(inherited)')"""
+    return f"""
+    WITH b AS (SELECT *, {indent} AS indent, {summary} AS own FROM ({REVIEW})),
+    l AS (SELECT *, CASE WHEN num_id IS NOT NULL THEN '   list: ' || concat_ws(' · ', CASE number_kind WHEN 'bullet' THEN 'bullet' WHEN 'decimal' THEN 'decimal ("%1.")' ELSE '(format unresolved)' END, 'level ' || ilvl, 'indent ' || indent)
+        ELSE '   indent: ' || indent END AS place,
+      CASE WHEN style_unresolved THEN '   style: unknown (could not resolve the style)'
+        WHEN is_mixed THEN '   segments:' || chr(10) || '     • "' || trim(text) || '" — ' || own || chr(10) || '     • "b c" — (inherited)'
+        ELSE '   style: ' || coalesce(style_name || ' → ', '') || CASE WHEN block_index % 27 = 0 THEN '(inherited)' ELSE own END END AS style FROM b)
+    SELECT doc_id, block_index, trim(text) AS preview, concat_ws(chr(10), place, style) AS lines FROM l"""
 
 
 def learned_store(spark, sf_dir):
@@ -191,7 +229,7 @@ def logistic_regression(spark, sf_dir):
 def queries() -> dict:
     named = (
         style_counts, style_profile, indent_norms, role_norms, relative_features, deviation_notes, positional_notes, neighbour_context, dominant_segments, run_segments, style_chains,
-        heading_levels, style_display, learned_store, allowed_values, rejected_minus_confirmed, effective_allowed, review_counts, default_decisions, page_scope, decision_records,
+        heading_levels, heading_forms, style_review_lines, learned_store, allowed_values, rejected_minus_confirmed, effective_allowed, review_counts, default_decisions, page_scope, decision_records,
         censor_features, styling_features, normalizer_stats, fold_assignment, threshold_tuning, prequential_meter, logistic_regression,
     )
     return {f.__name__: f for f in named}
@@ -260,7 +298,6 @@ def oracle_sql() -> dict[str, str]:
     tally = f"SELECT value, detected_type AS type, count(*) FILTER (verdict = 'reject') AS allow, count(*) FILTER (verdict = 'confirm') AS deny FROM ({X.LOG}) {{}} GROUP BY value, detected_type"
     allowed = f"SELECT DISTINCT value FROM ({tally.format('')}) WHERE allow > 0 AND deny = 0"
     rejected = f"SELECT value FROM ({X.LOG}) WHERE verdict = 'reject' EXCEPT SELECT value FROM ({X.LOG}) WHERE verdict = 'confirm'"
-    inch = "regexp_replace(regexp_replace(printf('%.2f', indent_left / 1440.0), '0+$', ''), '\\.$', '')"
     return {
         "style_counts": f"SELECT doc_id, style_name, n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, style_name NULLS FIRST) AS INT) AS rank FROM (SELECT doc_id, style_name, count(*) AS n FROM ({X.STYLED}) GROUP BY ALL)",
         "style_profile": f"WITH {_RELATIVE} SELECT doc_id, total AS total_blocks, dominant_font, dominant_size FROM tot LEFT JOIN fo USING (doc_id) LEFT JOIN si USING (doc_id)",
@@ -284,8 +321,9 @@ def oracle_sql() -> dict[str, str]:
             p AS (SELECT c.*, font, indent_left FROM c JOIN s ON s.doc_id = c.doc_id AND s.style_id = c.ancestor)
             SELECT doc_id, style_id, arg_min(font, distance) FILTER (font IS NOT NULL) AS font, arg_min(indent_left, distance) FILTER (indent_left IS NOT NULL) AS indent_left FROM p GROUP BY ALL""",
         "heading_levels": f"SELECT doc_id, block_index, CASE block_index % 4 WHEN 0 THEN 'Title' WHEN 1 THEN 'heading' ELSE 'Heading' || (block_index % 300) END AS style_id, CASE WHEN block_index % 4 < 2 THEN 1 WHEN block_index % 300 <= 255 THEN CAST(least(greatest(block_index % 300, 1), 6) AS INT) END AS level FROM ({X.STYLED})",
-        "style_display": f"""SELECT doc_id, block_index, text AS preview, concat_ws('; ', kind, CASE WHEN num_id IS NOT NULL THEN 'list ' || num_id || ', level ' || coalesce(ilvl, 0) END, CASE WHEN indent_left IS NOT NULL THEN 'indent ' || {inch} || 'in' END,
-            CASE WHEN font IS NOT NULL THEN 'font ' || font || coalesce(' ' || {points.format('size_half_pt')} || 'pt', '') END, CASE WHEN is_mixed THEN 'segments: “a” bold, “b”' END) AS lines FROM ({X.STYLED})""",
+        "heading_forms": f"""SELECT doc_id, block_index, CASE block_index % 7 WHEN 0 THEN 'TITLE' WHEN 1 THEN 'Heading' || (block_index % 9) || 'Char' WHEN 2 THEN 'HeadingFoo' WHEN 3 THEN 'heading  ' || (block_index % 9) WHEN 4 THEN 'Subtitle' WHEN 5 THEN 'Heading' || (block_index % 400) ELSE 'My heading 2' END AS style_id,
+            CASE block_index % 7 WHEN 0 THEN 1 WHEN 1 THEN CAST(least(greatest(block_index % 9, 1), 6) AS INT) WHEN 2 THEN 1 WHEN 3 THEN CAST(least(greatest(block_index % 9, 1), 6) AS INT) WHEN 5 THEN CASE WHEN block_index % 400 < 256 THEN CAST(least(greatest(block_index % 400, 1), 6) AS INT) END END AS level FROM ({X.STYLED})""",
+        "style_review_lines": review_sql(),
         "learned_store": tally.format("WHERE reviewed"),
         "allowed_values": allowed,
         "rejected_minus_confirmed": rejected,
