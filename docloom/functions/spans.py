@@ -57,6 +57,8 @@ def quoted(s: str) -> str:
     return "r'" + s + "'" if "'" not in s else "r\"" + s + '"'
 
 
+#: Matches that one fold gathers.
+FOLD = 256
 _NONE = "cast(array() as array<struct<start:int,end:int,value:string>>)"
 
 
@@ -71,8 +73,11 @@ def matches_sql(text: str, pattern: str) -> str:
     hit = "substring_index(x, char(2), 1)"
     add = f"named_struct('start', a.at, 'end', a.at + length({hit}), 'value', {hit})"
     step = f"if(instr(x, char(2)) = 0, named_struct('at', a.at + length(x), 'out', a.out), named_struct('at', a.at + length(x) - 1, 'out', concat(a.out, array({add}))))"
-    zero = f"named_struct('at', 0, 'out', {_NONE})"
-    fast = f"aggregate(split({marked}, char(1)), {zero}, (a, x) -> {step}, a -> a.out)"
+    # A fold copies what it has at each match, so long arrays are folded part by part, each from its own offset.
+    fold = lambda part, at: f"aggregate({part}, named_struct('at', {at}, 'out', {_NONE}), (a, x) -> {step}, a -> a.out)"
+    before = f"aggregate(slice(p, 1, k * {FOLD}), 0, (b, y) -> b + length(y) - if(instr(y, char(2)) = 0, 0, 1))"
+    parts = f"flatten(transform(sequence(0, cast((size(p) - 1) div {FOLD} as int)), k -> {fold(f'slice(p, k * {FOLD} + 1, {FOLD})', before)}))"
+    fast = f"transform(array(split({marked}, char(1))), p -> if(size(p) <= {FOLD}, {fold('p', '0')}, {parts}))[0]"
     return f"if(instr({text}, char(1)) = 0 and instr({text}, char(2)) = 0, {fast}, {_gaps_sql(text, pattern)})"
 
 
