@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators import censor
 from docloom.operators.fields import collapse
 
 SLUG, DISPLAY = 50, 60
@@ -47,18 +48,51 @@ def ranges(hits: DataFrame) -> DataFrame:
     return found.select("doc_id", "block_index", "end_block", n.alias("n"), F.concat(F.lit("S"), n).alias("id"), (F.col("_g") == 1).alias("needs_review"), (F.col("_k") == "paired_cross_paragraph").alias("is_cross"))
 
 
-def snippet_index(hits: DataFrame, blocks: DataFrame) -> DataFrame:
+def slices(fields: DataFrame, hits: DataFrame, names: list[str] | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """The fields of each range, censored as if the range were a document: its placeholders count from 001.
+
+    (doc_id, id, first_block, last_block) and the columns of fields. Only fields in a range are searched, each
+    once however many ranges cover it; the spans are then dealt to the ranges by block, and numbered per range.
+    """
+    each = ranges(hits).select("doc_id", "id", F.col("block_index").alias("first_block"), F.col("end_block").alias("last_block"))
+    covered = each.withColumn("block_index", F.explode(F.sequence("first_block", "last_block")))
+    found = censor.detect(fields.join(covered, ["doc_id", "block_index"], "left_semi"), names, allowed)
+    dealt = found.join(covered, ["doc_id", "block_index"]).withColumn("doc_id", F.struct("doc_id", "id", "first_block", "last_block"))
+    return censor.censored(dealt.select(*found.columns)).select("doc_id.*", *[c for c in fields.columns if c != "doc_id"])
+
+
+def with_previews(hits: DataFrame, slices: DataFrame) -> DataFrame:
+    """Hits whose ``span_text`` is censored where they cross paragraphs: from the first [ of the first block to the
+    last ] of the last, paragraphs between whole, one line; headings and tables are passed over."""
+    first, last = F.col("block_index") == F.col("first_block"), F.col("block_index") == F.col("last_block")
+    opened = F.instr("text", "[")
+    closed = F.instr(F.reverse("text"), "]")
+    part = F.when(first, F.substr("text", F.greatest(opened, F.lit(1)))).when(last & (closed > 0), F.left("text", F.length("text") - closed + 1)).otherwise(F.col("text"))
+    rows = slices.where("kind = 'paragraph' and last_block > first_block").select("doc_id", "first_block", "last_block", F.struct("block_index", part.alias("t")).alias("p"))
+    line = F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["t"]), " ")
+    lines = rows.groupBy("doc_id", F.col("first_block").alias("block_index"), F.col("last_block").alias("end_block")).agg(line.alias("_line"))
+    shown = F.when(F.col("kind") == "paired_cross_paragraph", F.coalesce("_line", F.lit(""))).otherwise(F.col("span_text"))
+    joined = hits.join(lines, ["doc_id", "block_index", "end_block"], "left")
+    return joined.select(*[shown.alias(c) if c == "span_text" else c for c in hits.columns])
+
+
+def snippet_index(hits: DataFrame, blocks: DataFrame, slices: DataFrame | None = None) -> DataFrame:
     """Snippet files of a document: id, range, whether to review, and a path with a unique slug per folder.
 
+    A slug is made of the range's first text, censored where ``slices`` are given, so that no path tells a value.
     A slug that is taken gets the first free of -2, -3, ... in order of ranges. Most slugs are no other
     slug with a number, and then their count is their number, by a window. Only where a slug stands beside
     one that it could be a suffixed form of (pay and pay-2) does the order of the whole family count.
     """
-    opening = blocks.where("kind <> 'table'").select("doc_id", F.col("block_index").alias("_b"), "text")
     found = ranges(hits)
     # A range's text is that of its first block that is no table: within one block the block itself.
-    texts = found.join(opening, (found["doc_id"] == opening["doc_id"]) & opening["_b"].between(found["block_index"], found["end_block"]), "left")
-    texts = texts.groupBy(found["doc_id"], "block_index", "end_block", "n", "id", "needs_review", "is_cross").agg(F.min_by("text", "_b").alias("text"))
+    if slices is None:
+        opening = blocks.where("kind <> 'table'").select("doc_id", F.col("block_index").alias("_b"), "text")
+        texts = found.join(opening, (found["doc_id"] == opening["doc_id"]) & opening["_b"].between(found["block_index"], found["end_block"]), "left")
+        texts = texts.groupBy(found["doc_id"], "block_index", "end_block", "n", "id", "needs_review", "is_cross").agg(F.min_by("text", "_b").alias("text"))
+    else:
+        opening = slices.where("kind <> 'table_cell'").groupBy("doc_id", "id").agg(F.min_by("text", "block_index").alias("text"))
+        texts = found.join(opening, ["doc_id", "id"], "left")
     named = texts.withColumn("slug", slug(F.coalesce("text", F.lit("")))).withColumn("family", F.regexp_replace("slug", "(?:-[0-9]+)+$", ""))
     folder = ["doc_id", "is_cross"]
     mixed = (F.min("slug").over(Window.partitionBy(*folder, "family")) != F.max("slug").over(Window.partitionBy(*folder, "family"))).alias("mixed")
@@ -138,17 +172,12 @@ def render(blocks: DataFrame, hits: DataFrame, snippets: DataFrame) -> DataFrame
     return docs.select("doc_id", F.concat(F.lit("# Detected variables\n\n"), F.coalesce("index", F.lit("")), F.coalesce("entries", F.lit("_No bracketed variables detected._\n"))).alias("markdown"))
 
 
-def snippet_documents(found: DataFrame, snippets: DataFrame, censored_by_range: DataFrame, blocks: DataFrame, main_name: str) -> DataFrame:
-    """The Markdown of each snippet file, from fields that were censored afresh for its range.
-
-    censored_by_range: doc_id, id, block_index (of the block) and text.
-    """
-    del found
-    meta = blocks.select("doc_id", F.col("block_index").alias("_b"), "kind", "level")
-    rows = censored_by_range.withColumnRenamed("block_index", "_b").join(meta, ["doc_id", "_b"]).where("kind <> 'table'")
-    heading = F.concat(F.repeat(F.lit("#"), F.least(F.greatest(F.col("level").cast("int"), F.lit(1)), F.lit(6))), F.lit(" "), F.col("text"), F.lit("\n\n"))
+def snippet_documents(slices: DataFrame, snippets: DataFrame, main_name: str) -> DataFrame:
+    """The Markdown of each snippet file, from the censored fields of its range; tables are left out."""
+    rows = slices.where("kind <> 'table_cell'")
+    heading = F.concat(F.repeat(F.lit("#"), F.least(F.greatest(F.col("heading_level").cast("int"), F.lit(1)), F.lit(6))), F.lit(" "), F.col("text"), F.lit("\n\n"))
     part = F.when(F.col("kind") == "heading", heading).otherwise(F.concat("text", F.lit("\n\n")))
-    body = rows.groupBy("doc_id", "id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_b", part.alias("m")))), lambda r: r["m"]), "").alias("body"))
+    body = rows.groupBy("doc_id", "id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_index", part.alias("m")))), lambda r: r["m"]), "").alias("body"))
     joined = snippets.join(body, ["doc_id", "id"], "left")
     cross = F.col("path").contains("cross-paragraph/")
     back = F.when(cross, f"../../{main_name}").otherwise(f"../{main_name}")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import brackets, fields, language, sections, style
 from docloom.plans import fixtures as X
+from docloom.plans import spans as P
 
 FIELD = ["doc_id", "block_index", "cell_row", "cell_col", "kind", "text"]
 
@@ -66,6 +67,27 @@ def markdown_inventory(spark, sf_dir):
     return sections.render(blocks, h, sections.snippet_index(h, blocks)).select("doc_id", F.length("markdown").alias("n_chars"), F.md5("markdown").alias("digest"))
 
 
+def _slices(spark, sf_dir):
+    blocks = X.drafts(spark, sf_dir)
+    f = fields.fields(blocks)
+    h = brackets.hits(blocks, f)
+    return blocks, h, sections.slices(f, h)
+
+
+def snippet_files(spark, sf_dir):
+    """Snippet files of the drafts, censored range by range."""
+    blocks, h, s = _slices(spark, sf_dir)
+    files = sections.snippet_documents(s, sections.snippet_index(h, blocks, s), "drafts.md")
+    return files.select("doc_id", "id", "path", F.length("markdown").alias("n_chars"), F.md5("markdown").alias("digest"))
+
+
+def cross_previews(spark, sf_dir):
+    """Spans across paragraphs as the inventory shows them."""
+    _, h, s = _slices(spark, sf_dir)
+    shown = sections.with_previews(h, s).where("kind = 'paired_cross_paragraph'")
+    return shown.select("doc_id", "block_index", F.col("start").alias("start_at"), "end_block", F.length("span_text").alias("n_chars"), F.md5("span_text").alias("digest"))
+
+
 def table_markdown(spark, sf_dir):
     return X.nation_tables(spark, sf_dir).select("doc_id", sections.table_markdown(F.col("rows")).alias("markdown"))
 
@@ -131,6 +153,24 @@ _SLUG = r"regexp_replace(left(regexp_replace(lower(regexp_replace(coalesce(text,
 _COLLAPSE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
 
+def _slices_sql() -> str:
+    """CTEs that end in ``part``: the text of each block of each range, censored per range. A cell is a block of its own number."""
+    cell = f"SELECT doc_id, CAST(block_index AS BIGINT) * 100000 + cell_col + 1 AS block_index, text FROM ({X.DRAFT_FIELDS_SQL})"
+    free = "SELECT c.* FROM (%s) c WHERE NOT EXISTS (SELECT 1 FROM hits p WHERE p.kind LIKE 'paired%%' AND p.doc_id = c.doc_id AND p.block_index = c.block_index // 100000 AND p.cell_col = c.block_index %% 100000 - 1 AND c.start_at < p.end_at AND p.start_at < c.end_at)"
+    return f"""{_CROSS}, {P.resolved_ctes(free % P.candidates_oracle(fields=cell))},
+      g AS (SELECT doc_id, block_index, end_block, min({{'s': start_at, 'r': cell_row, 'c': cell_col, 'k': kind}}) AS f, bool_or(status = 'guessed') AS needs_review FROM every GROUP BY ALL),
+      i AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_index, f, end_block) AS n, f.k = 'paired_cross_paragraph' AS is_cross FROM g),
+      fresh AS MATERIALIZED (SELECT i.n, r.* FROM i JOIN resolved r ON r.doc_id = i.doc_id AND r.block_index // 100000 BETWEEN i.block_index AND i.end_block),
+      seen AS (SELECT doc_id, n, value, arg_min(value_type, k) AS value_type, min(k) AS k FROM (SELECT *, block_index * 1000000 - start_at AS k FROM fresh) GROUP BY doc_id, n, value),
+      named AS MATERIALIZED (SELECT doc_id, n, value, 'REDACTED_' || upper(value_type) || '_' || CASE WHEN m < 1000 THEN lpad(CAST(m AS VARCHAR), 3, '0') ELSE CAST(m AS VARCHAR) END AS placeholder
+        FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, n, value_type ORDER BY k) AS m FROM seen)),
+      put AS (SELECT s.doc_id, s.n, s.block_index // 100000 AS block_index, f.text, start_at, end_at, placeholder, coalesce(lag(end_at) OVER (PARTITION BY s.doc_id, s.n, s.block_index ORDER BY start_at), 0) AS prior
+        FROM fresh s JOIN named USING (doc_id, n, value) JOIN d f ON f.doc_id = s.doc_id AND f.block_index = s.block_index // 100000 AND f.kind <> 'table'),
+      done AS (SELECT doc_id, n, block_index, string_agg(substr(text, CAST(prior + 1 AS BIGINT), CAST(start_at - prior AS BIGINT)) || placeholder, '' ORDER BY start_at) AS head, max(end_at) AS last FROM put GROUP BY doc_id, n, block_index),
+      part AS MATERIALIZED (SELECT i.doc_id, i.n, i.is_cross, i.block_index AS first_block, i.end_block, d.block_index, d.kind, d.level, CASE WHEN head IS NULL THEN text ELSE head || substr(text, CAST(last + 1 AS BIGINT)) END AS text
+        FROM i JOIN d ON d.doc_id = i.doc_id AND d.kind <> 'table' AND d.block_index BETWEEN i.block_index AND i.end_block LEFT JOIN done ON done.doc_id = i.doc_id AND done.n = i.n AND done.block_index = d.block_index)"""
+
+
 def _marker_counts() -> str:
     listed = lambda ws: ", ".join(f"'{w}'" for w in ws)
     return ", ".join(f"len(list_filter(w, lambda x: x IN ({listed(ws)}))) AS n_{lang}" for lang, ws in language.MARKERS.items())
@@ -161,6 +201,19 @@ def oracle_sql() -> dict[str, str]:
             u AS (SELECT *, CASE WHEN {_SLUG} = '' THEN 'span' ELSE {_SLUG} END AS slug FROM t),
             v AS (SELECT *, row_number() OVER (PARTITION BY doc_id, is_cross, slug ORDER BY n) AS k FROM u)
             SELECT doc_id, 'S' || n AS id, block_index, end_block, needs_review, 'snippets/' || CASE WHEN is_cross THEN 'cross-paragraph/' ELSE '' END || slug || CASE WHEN k > 1 THEN '-' || k ELSE '' END || '.md' AS path FROM v""",
+        "snippet_files": f"""WITH RECURSIVE {_slices_sql()},
+            body AS (SELECT doc_id, n, arg_min(text, block_index) AS text, string_agg(CASE WHEN kind = 'heading' THEN repeat('#', level) || ' ' ELSE '' END || text || chr(10) || chr(10), '' ORDER BY block_index) AS body FROM part GROUP BY doc_id, n),
+            u AS (SELECT i.*, text, body, CASE WHEN {_SLUG} = '' THEN 'span' ELSE {_SLUG} END AS slug FROM i LEFT JOIN body USING (doc_id, n)),
+            v AS (SELECT *, row_number() OVER (PARTITION BY doc_id, is_cross, slug ORDER BY n) AS k, CASE WHEN is_cross THEN '../../drafts.md' ELSE '../drafts.md' END AS back FROM u),
+            m AS (SELECT *, '# S' || n || CASE WHEN is_cross THEN ' — cross-paragraph span, blocks ' ELSE ' — snippet, block ' END || block_index || CASE WHEN end_block > block_index THEN '–' || end_block ELSE '' END || CASE WHEN is_cross THEN ' (⚠ review)' ELSE '' END
+              || chr(10) || chr(10) || '> Back to inventory: [`' || back || '`](' || back || ')' || CASE WHEN is_cross THEN ' · kind: paired (cross-paragraph) · status: ⚠ GUESSED' || chr(10) || chr(10) || 'This span crosses paragraphs; confirm that it is one variable.' ELSE '' END
+              || chr(10) || chr(10) || '---' || chr(10) || chr(10) || coalesce(body, '') AS markdown FROM v)
+            SELECT doc_id, 'S' || n AS id, 'snippets/' || CASE WHEN is_cross THEN 'cross-paragraph/' ELSE '' END || slug || CASE WHEN k > 1 THEN '-' || k ELSE '' END || '.md' AS path, CAST(length(markdown) AS INT) AS n_chars, md5(markdown) AS digest FROM m""",
+        "cross_previews": f"""WITH RECURSIVE {_slices_sql()},
+            line AS (SELECT doc_id, first_block, end_block, string_agg(CASE WHEN block_index = first_block THEN substr(text, greatest(instr(text, '['), 1)) WHEN block_index = end_block AND contains(text, ']') THEN regexp_extract(text, '(?s)^.*[]]') ELSE text END, ' ' ORDER BY block_index) AS line
+              FROM part WHERE kind = 'paragraph' AND end_block > first_block GROUP BY ALL)
+            SELECT e.doc_id, e.block_index, start_at, e.end_block, CAST(length(coalesce(line, '')) AS INT) AS n_chars, md5(coalesce(line, '')) AS digest FROM every e LEFT JOIN line l ON l.doc_id = e.doc_id AND l.first_block = e.block_index AND l.end_block = e.end_block
+            WHERE e.kind = 'paired_cross_paragraph'""",
         "table_markdown": f"SELECT doc_id, '| ' || array_to_string(rows[1], ' | ') || ' |' || chr(10) || '| --- | --- | --- |' || chr(10) || list_aggregate(list_transform(rows[2:], lambda r: '| ' || array_to_string(r, ' | ') || ' |' || chr(10)), 'string_agg', '') || chr(10) AS markdown FROM ({X.NATIONS_SQL})",
         "span_cells": f"""SELECT doc_id, block_index, '`' || replace(CASE WHEN length(c) > 60 THEN left(c, 60) || '…' ELSE c END, '|', '\\|') || '`' AS cell, CASE WHEN {_SLUG} = '' THEN 'span' ELSE {_SLUG} END AS slug
             FROM (SELECT *, replace({_COLLAPSE.format('text')}, '`', '''') AS c FROM ({X.DRAFTS_SQL}) WHERE kind <> 'table')""",
@@ -175,6 +228,6 @@ def oracle_sql() -> dict[str, str]:
 def queries() -> dict:
     named = (
         blocks_from_text, fields_of_blocks, doc_id_hash, neighbors_flow, neighbors_table, bracket_hits, bracket_balance, cross_block_hits, document_sections,
-        snippet_index, markdown_inventory, table_markdown, span_cells, dominant_language, document_languages, language_tags, page_numbers,
+        snippet_index, snippet_files, cross_previews, markdown_inventory, table_markdown, span_cells, dominant_language, document_languages, language_tags, page_numbers,
     )
     return {f.__name__: f for f in named}
