@@ -118,7 +118,8 @@ def deviation_notes(blocks: DataFrame) -> DataFrame:
     of = lambda c: F.concat(F.col(f"{c}_count").cast("string"), F.lit(" of "), F.col("_peers").cast("string"), F.lit(" other "), role_label(), F.lit(" use "))
     font = F.when(F.col("font_common") != F.col("font"), F.concat(F.lit("font "), F.col("font"), F.lit(" — "), of("font"), F.col("font_common")))
     size = F.when(F.col("size_half_pt_common") != F.col("size_half_pt"), F.concat(F.lit("size "), points(F.col("size_half_pt")), F.lit("pt — "), of("size_half_pt"), points(F.col("size_half_pt_common")), F.lit("pt")))
-    bold = F.size(F.filter("segments", lambda s: s["bold"]))
+    own = "style" in blocks.schema["segments"].dataType.elementType.names
+    bold = F.size(F.filter("segments", lambda s: F.coalesce((s["style"] if own else s)["bold"], F.lit(False))))
     mixed = F.when(F.size("segments") >= 2, F.concat(bold.cast("string"), F.lit(" of "), F.size("segments").cast("string"), F.lit(" segments bold")))
     notes = joined.select("doc_id", "block_index", F.array_join(F.array_compact(F.array(font, size, mixed)), "; ").alias("notes"))
     return notes.where("notes <> ''")

@@ -77,7 +77,7 @@ def _paragraph(p: ET.Element) -> dict:
             "text": _run_text(r), "font": fonts.get(NS + "ascii") if fonts is not None else None, "size_half_pt": _number(_value(rp, "sz")),
             "bold": _flag(rp, "b"), "italic": _flag(rp, "i"), "underline": _value(rp, "u"),
         })
-        pages += sum(1 for b in r.findall(NS + "br") if b.get(NS + "type") == "page")
+        pages = pages or int(any(b.get(NS + "type") == "page" for b in r.findall(NS + "br")))  # one page on, however many breaks
     indent = props.find(NS + "ind") if props is not None else None
     side = lambda k: _number(indent.get(NS + k)) if indent is not None else None
     style = _value(props, "pStyle")
