@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import features
 from docloom.functions.spans import VALUE_TYPES
-from docloom.operators import model, review, style
+from docloom.operators import model, records, review, style
 from docloom.plans import fixtures as X
 
 
@@ -156,6 +156,30 @@ def decision_records(spark, sf_dir):
     return review.decision_records(log, 1700000000).select("seq", "value", "verdict", "final_type", "schema", "timestamp")
 
 
+VERDICTS = f"""
+SELECT doc_id, block_index, CASE WHEN block_index % 4 = 1 THEN 'weird' ELSE 'fine' END AS verdict, CASE WHEN block_index % 8 < 4 THEN 'other' ELSE 'bad-indent-level' END AS category, concat('n', block_index) AS note
+FROM ({X.STYLED}) WHERE block_index % 3 <> 0"""
+
+
+def styling_log(spark, sf_dir):
+    """Log rows of verdicts on two thirds of the styled blocks."""
+    r = records.styling_records(X.styled(spark, sf_dir), X.from_orders(spark, sf_dir, VERDICTS), "orders")
+    return r.select(
+        "schema", "source", "doc_id", "block_index", "block_kind", F.col("heading_level").cast("int").alias("heading_level"), "in_table", "text", F.col("para.style_name").alias("style_name"), F.col("para.numbering.num_id").alias("num_id"),
+        F.col("para.numbering.ilvl").alias("ilvl"), F.col("para.indent.left").alias("indent_left"), F.col("run.bold").alias("bold"), F.size("segments").alias("n_segments"), "style_unresolved", "numbering_unresolved", "verdict", "category", "note",
+        F.round(F.col("relative.style_doc_freq").cast("double"), 5).alias("style_doc_freq"), F.col("relative.matches_role_peers").alias("matches_role_peers"), F.col("context.prev_text").alias("prev_text"), F.col("context.next_kind").alias("next_kind"),
+        F.col("context.next_numbering.ilvl").alias("next_ilvl"),
+    )
+
+
+def _styling_log_sql(relative: str, near: str) -> str:
+    return f"""
+    SELECT CAST(5 AS INT) AS schema, 'orders' AS source, CAST(b.doc_id AS VARCHAR) AS doc_id, b.block_index, b.kind AS block_kind, b.level AS heading_level, b.kind = 'table_cell' AS in_table, b.text, b.style_name, CAST(b.num_id AS BIGINT) AS num_id,
+      CAST(b.ilvl AS BIGINT) AS ilvl, b.indent_left, b.bold, CAST(CASE WHEN b.is_mixed THEN 2 ELSE 1 END AS INT) AS n_segments, b.style_unresolved, false AS numbering_unresolved, v.verdict, CASE WHEN v.verdict = 'weird' THEN v.category END AS category,
+      CASE WHEN v.verdict = 'weird' THEN v.note END AS note, r.style_doc_freq, r.matches_role_peers, n.prev_text, n.next_kind, CAST(n.next_ilvl AS BIGINT) AS next_ilvl
+    FROM ({X.STYLED}) b JOIN ({VERDICTS}) v USING (doc_id, block_index) JOIN ({relative}) r USING (doc_id, block_index) JOIN ({near}) n USING (doc_id, block_index)"""
+
+
 def _decisions(spark, sf_dir):
     log = X.log(spark, sf_dir)
     kinds = F.when(F.col("seq") % 2 == 0, F.array(F.lit("paragraph"))).otherwise(F.array(F.lit("heading"), F.lit("list_item")))
@@ -229,7 +253,7 @@ def logistic_regression(spark, sf_dir):
 def queries() -> dict:
     named = (
         style_counts, style_profile, indent_norms, role_norms, relative_features, deviation_notes, positional_notes, neighbour_context, dominant_segments, run_segments, style_chains,
-        heading_levels, heading_forms, style_review_lines, learned_store, allowed_values, rejected_minus_confirmed, effective_allowed, review_counts, default_decisions, page_scope, decision_records,
+        heading_levels, heading_forms, style_review_lines, learned_store, allowed_values, rejected_minus_confirmed, effective_allowed, review_counts, default_decisions, page_scope, decision_records, styling_log,
         censor_features, styling_features, normalizer_stats, fold_assignment, threshold_tuning, prequential_meter, logistic_regression,
     )
     return {f.__name__: f for f in named}
@@ -298,7 +322,7 @@ def oracle_sql() -> dict[str, str]:
     tally = f"SELECT value, detected_type AS type, count(*) FILTER (verdict = 'reject') AS allow, count(*) FILTER (verdict = 'confirm') AS deny FROM ({X.LOG}) {{}} GROUP BY value, detected_type"
     allowed = f"SELECT DISTINCT value FROM ({tally.format('')}) WHERE allow > 0 AND deny = 0"
     rejected = f"SELECT value FROM ({X.LOG}) WHERE verdict = 'reject' EXCEPT SELECT value FROM ({X.LOG}) WHERE verdict = 'confirm'"
-    return {
+    out = {
         "style_counts": f"SELECT doc_id, style_name, n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, style_name NULLS FIRST) AS INT) AS rank FROM (SELECT doc_id, style_name, count(*) AS n FROM ({X.STYLED}) GROUP BY ALL)",
         "style_profile": f"WITH {_RELATIVE} SELECT doc_id, total AS total_blocks, dominant_font, dominant_size FROM tot LEFT JOIN fo USING (doc_id) LEFT JOIN si USING (doc_id)",
         "indent_norms": f"WITH {_RELATIVE} SELECT * FROM inn",
@@ -344,3 +368,4 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT task, count(*) AS rows, count(*) FILTER (a) AS positives, count(*) FILTER (NOT a) AS negatives, count(*) FILTER (a AND p) AS positive_hits, count(*) FILTER (NOT a AND NOT p) AS negative_hits, count(*) FILTER (a AND p AND r) AS reasons, count(*) FILTER (a AND p AND r AND x) AS reason_hits FROM l GROUP BY task)
             SELECT *, CASE WHEN rows >= 100 AND positives >= 5 AND negatives > 0 THEN round((positive_hits / CAST(positives AS DOUBLE) + negative_hits / CAST(negatives AS DOUBLE)) / 2, 9) END AS balanced_accuracy FROM s""",
     }
+    return out | {"styling_log": _styling_log_sql(out["relative_features"], out["neighbour_context"])}

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from docloom.functions import spans as S
-from docloom.operators import censor, review
+from docloom.operators import censor, language, records, review
 from docloom.operators.fields import sentence_window
 from docloom.plans import fixtures as X
 
@@ -161,6 +161,37 @@ def applied_decisions(spark, sf_dir):
     return censor.apply_decisions(found, base.unionByName(added)).select("doc_id", "block_index", "text")
 
 
+def _occurred(spark, sf_dir):
+    f = X._cells(X.from_orders(spark, sf_dir, X.LEDGER))
+    blocks = f.select("doc_id", "block_index", "kind", F.lit(None).cast("tinyint").alias("level"), "text", F.lit(None).cast("array<array<string>>").alias("rows"))
+    tagged = language.filled(f.withColumns({"lang": F.lit(None).cast("string"), "confidence": F.lit(None).cast("float")}), "en")
+    return records.occurrences(censor.detect(f), blocks, tagged)
+
+
+_LOGGED = ["schema", "timestamp", "source", "doc_id", "value", "method", "detected_type", "verdict", "final_type", "shown_context", "block_context", "occurrences", "scope"]
+
+
+def _flat(rows):
+    joined = [F.array_join(c, ",").alias(c) for c in ("block_kinds", "langs")]
+    return rows.select(*_LOGGED, *joined, "span_edited", F.col("neighbors.above").alias("above"), F.col("neighbors.below").alias("below"), F.col("neighbors.row_label").alias("row_label"))
+
+
+def decision_log(spark, sf_dir):
+    """Log rows of decisions on the ledger's values: dates rejected, the rest confirmed, some not reviewed."""
+    occurred = _occurred(spark, sf_dir)
+    items = occurred.groupBy("doc_id", "value").agg(F.min("value_type").alias("final_type"))
+    decided = items.withColumn("verdict", F.when(F.col("final_type") == "DATE", "reject").otherwise("confirm")).withColumn("reviewed", F.length("value") % 3 != 0)
+    return _flat(records.group_records(occurred, decided, "ledger", 1700000000))
+
+
+def occurrence_log(spark, sf_dir):
+    """Log rows of decisions on single occurrences: the first of each block of the ledger."""
+    occurred = _occurred(spark, sf_dir)
+    first = occurred.groupBy("doc_id", "block_index", "cell_row", "cell_col").agg(F.min("start").alias("start"))
+    decided = first.withColumns({"verdict": F.when(F.col("start") % 2 == 0, "reject").otherwise("confirm"), "final_type": F.lit("other")})
+    return _flat(records.occurrence_records(occurred, decided, "ledger", 1700000000))
+
+
 _LEDGER_RESOLVED = f"WITH RECURSIVE {resolved_ctes(candidates_oracle(fields=X.LEDGER))}"
 
 
@@ -173,7 +204,7 @@ def _censored_sql(ctes: str, spans: str, source: str) -> str:
 
 def queries() -> dict:
     out = {f"{d.name}_spans": _one(d) for d in (*S.DETECTORS, S.PERSON)}
-    named = (entity_guess, party_matches, overlap_resolved, party_precedence, allow_list, placeholder_mapping, censored_text, review_items, sentence_context, literal_values, applied_decisions)
+    named = (entity_guess, party_matches, overlap_resolved, party_precedence, allow_list, placeholder_mapping, censored_text, review_items, sentence_context, literal_values, applied_decisions, decision_log, occurrence_log)
     return out | {f.__name__: f for f in named}
 
 
@@ -190,7 +221,21 @@ def oracle_sql() -> dict[str, str]:
     uses AS MATERIALIZED (SELECT * FROM labelled UNION ALL SELECT * FROM extra),
     firsts AS (SELECT doc_id, value, upper(arg_min(label, k)) AS label, min(k) AS k FROM (SELECT *, CAST(block_index AS BIGINT) * 1000000 - start_at AS k FROM uses) GROUP BY doc_id, value),
     names AS MATERIALIZED (SELECT doc_id, value, 'REDACTED_' || label || '_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id, label ORDER BY k) AS VARCHAR), 3, '0') AS placeholder FROM firsts)""" % X.LEDGER
+    window = "trim(regexp_replace(regexp_extract(substr(text, 1, start_at), '[^.!?\\n]*$') || value || regexp_extract(substr(text, end_at + 1), '^[^.!?\\n]*[.!?\\n]?'), '\\s+', ' ', 'g'))"
+    around = f"""{_LEDGER_RESOLVED},
+    o AS MATERIALIZED (SELECT r.*, CAST(r.block_index AS BIGINT) * 1000000 + start_at AS k, {window} AS shown_context, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS block_context, above, below FROM resolved r
+      JOIN (SELECT *, lag(text) OVER w AS above, lead(text) OVER w AS below FROM ({X.LEDGER}) WINDOW w AS (PARTITION BY doc_id ORDER BY block_index)) f USING (doc_id, block_index))"""
+    row = "CAST(6 AS INT) AS schema, CAST(1700000000 AS BIGINT) AS timestamp, 'ledger' AS source, CAST(doc_id AS VARCHAR) AS doc_id, value, method"
+    rest = "'paragraph' AS block_kinds, 'en' AS langs, false AS span_edited, above, below, CAST(NULL AS VARCHAR) AS row_label"
     return out | {
+        "decision_log": f"""{around},
+            g AS (SELECT doc_id, value, arg_min(value_type, k) AS detected_type, arg_min(method, k) AS method, arg_min(shown_context, k) AS shown_context, arg_min(block_context, k) AS block_context, arg_min({{'a': above, 'b': below}}, k) AS near,
+              CAST(count(*) AS INT) AS occurrences, min(value_type) AS final_type FROM o GROUP BY doc_id, value)
+            SELECT {row}, detected_type, CASE WHEN final_type = 'DATE' THEN 'reject' ELSE 'confirm' END AS verdict, CASE WHEN final_type <> 'DATE' THEN final_type END AS final_type, shown_context, block_context, occurrences, 'group' AS scope, {rest}
+            FROM (SELECT *, near.a AS above, near.b AS below FROM g) WHERE length(value) % 3 <> 0""",
+        "occurrence_log": f"""{around}
+            SELECT {row}, value_type AS detected_type, CASE WHEN start_at % 2 = 0 THEN 'reject' ELSE 'confirm' END AS verdict, CASE WHEN start_at % 2 = 1 THEN 'other' END AS final_type, shown_context, block_context, CAST(1 AS INT) AS occurrences, 'occurrence' AS scope, {rest}
+            FROM o QUALIFY row_number() OVER (PARTITION BY doc_id, block_index ORDER BY start_at) = 1""",
         "entity_guess": entity_oracle(),
         "party_matches": f"SELECT {columns}, value_type FROM ({party_oracle()})",
         "overlap_resolved": f"{RESOLVED} {shown}",
