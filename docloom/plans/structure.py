@@ -171,6 +171,25 @@ def _slices_sql() -> str:
         FROM i JOIN d ON d.doc_id = i.doc_id AND d.kind <> 'table' AND d.block_index BETWEEN i.block_index AND i.end_block LEFT JOIN done ON done.doc_id = i.doc_id AND done.n = i.n AND done.block_index = d.block_index)"""
 
 
+def _inventory_sql(snippets: str) -> str:
+    """The Markdown inventory of each document of the drafts, from its parts in order."""
+    n = "chr(10)"
+    cell = f"'`' || replace(CASE WHEN length(c) > 60 THEN left(c, 60) || '…' ELSE c END, '|', '\\|') || '`'"
+    kinds = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sections.KIND_LABELS.items())
+    grid = f"'| ' || array_to_string(list_transform(string_split(text, ' | '), lambda x: replace({_COLLAPSE.format('x')}, '|', '\\|')), ' | ') || ' |' || {n} || '|' || repeat(' --- |', len(string_split(text, ' | '))) || {n} || {n}"
+    return f"""WITH {_CROSS}, snip AS MATERIALIZED ({snippets}),
+      place AS (SELECT *, coalesce(max(CASE WHEN kind = 'heading' THEN block_index END) OVER (PARTITION BY doc_id ORDER BY block_index), block_index) AS section FROM d),
+      line AS (SELECT e.doc_id, section, e.block_index, start_at, cell_row, cell_col, e.kind, '| ' || s.id || ' | ' || {cell} || ' | ' || CASE e.kind {kinds} END || ' | ' || CASE status WHEN 'guessed' THEN '⚠ GUESSED' ELSE 'confident' END || ' | [' || path || '](' || path || ') |' || {n} AS row
+        FROM (SELECT *, replace({_COLLAPSE.format('span_text')}, '`', '''') AS c FROM every) e JOIN snip s USING (doc_id, block_index, end_block) JOIN (SELECT doc_id, block_index, section FROM place) p USING (doc_id, block_index)),
+      inventory AS (SELECT doc_id, section, string_agg(row, '' ORDER BY block_index, start_at, cell_row, cell_col, kind, row) AS rows FROM line GROUP BY ALL),
+      body AS (SELECT doc_id, section, string_agg(CASE kind WHEN 'heading' THEN repeat('#', level) || ' ' || text || {n} || {n} WHEN 'table' THEN {grid} ELSE text || {n} || {n} END, '' ORDER BY block_index) AS body FROM place GROUP BY ALL),
+      entries AS (SELECT doc_id, string_agg(body || '**Variables in this section:**' || {n} || {n} || '| ID | Snippet | Kind | Status | File |' || {n} || '|----|---------|------|--------|------|' || {n} || rows || {n}, '' ORDER BY section) AS entries FROM inventory JOIN body USING (doc_id, section) GROUP BY doc_id),
+      listed AS (SELECT doc_id, string_agg('| ' || id || ' | ' || block_index || CASE WHEN end_block > block_index THEN '–' || end_block ELSE '' END || ' | ' || CASE WHEN needs_review THEN '⚠' ELSE '' END || ' | [' || path || '](' || path || ') |' || {n}, '' ORDER BY CAST(substr(id, 2) AS INT)) AS listed FROM snip GROUP BY doc_id),
+      m AS (SELECT doc_id, '# Detected variables' || {n} || {n} || coalesce('## Snippet index' || {n} || {n} || '| ID | Block(s) | Review | File |' || {n} || '|----|----------|--------|------|' || {n} || listed || {n}, '') || coalesce(entries, '_No bracketed variables detected._' || {n}) AS markdown
+        FROM (SELECT DISTINCT doc_id FROM d) LEFT JOIN listed USING (doc_id) LEFT JOIN entries USING (doc_id))
+      SELECT doc_id, CAST(length(markdown) AS INT) AS n_chars, md5(markdown) AS digest FROM m"""
+
+
 def _marker_counts() -> str:
     listed = lambda ws: ", ".join(f"'{w}'" for w in ws)
     return ", ".join(f"len(list_filter(w, lambda x: x IN ({listed(ws)}))) AS n_{lang}" for lang, ws in language.MARKERS.items())
@@ -181,7 +200,7 @@ def oracle_sql() -> dict[str, str]:
     best = f"greatest({', '.join('n_' + x for x in langs)})"
     total = " + ".join(f"n_{x}" for x in langs)
     chosen = " ".join(f"WHEN n_{x} = {best} THEN '{x}'" for x in langs)
-    return {
+    out = {
         "blocks_from_text": f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block_index) - 1 AS INT) AS block_index, text FROM ({X.LINES_SQL}) WHERE trim(text) <> ''",
         "fields_of_blocks": X.DRAFT_FIELDS_SQL,
         "doc_id_hash": f"""SELECT doc_id, left(sha256(unhex(string_agg(h || 'FF', '' ORDER BY block_index))), 16) AS content_id FROM (
@@ -223,6 +242,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, block_index, CASE WHEN ok THEN CASE {chosen} END END AS lang, CASE WHEN ok THEN round(CAST({best} AS DOUBLE) / ({total}), 4) END AS confidence FROM (SELECT *, length(text) >= 25 AND {best} > 0 AND 2 * {best} >= {total} AS ok FROM n)""",
         "page_numbers": f"SELECT doc_id, block_index, CAST(1 + sum(CASE WHEN block_index % 6 = 0 THEN 1 ELSE 0 END) OVER w + coalesce(sum(CASE WHEN block_index % 5 = 0 THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS page FROM ({X.STYLED}) WINDOW w AS (PARTITION BY doc_id ORDER BY block_index)",
     }
+    return out | {"markdown_inventory": _inventory_sql(out["snippet_index"])}
 
 
 def queries() -> dict:
