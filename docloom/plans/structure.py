@@ -67,6 +67,12 @@ def markdown_inventory(spark, sf_dir):
     return sections.render(blocks, h, sections.snippet_index(h, blocks)).select("doc_id", F.length("markdown").alias("n_chars"), F.md5("markdown").alias("digest"))
 
 
+def inventory_texts(spark, sf_dir):
+    """The whole inventories; markdown_inventory gives their digests."""
+    blocks, h = _hits(spark, sf_dir)
+    return sections.render(blocks, h, sections.snippet_index(h, blocks))
+
+
 def _slices(spark, sf_dir):
     blocks = X.drafts(spark, sf_dir)
     f = fields.fields(blocks)
@@ -187,7 +193,7 @@ def _inventory_sql(snippets: str) -> str:
       listed AS (SELECT doc_id, string_agg('| ' || id || ' | ' || block_index || CASE WHEN end_block > block_index THEN '–' || end_block ELSE '' END || ' | ' || CASE WHEN needs_review THEN '⚠' ELSE '' END || ' | [' || path || '](' || path || ') |' || {n}, '' ORDER BY CAST(substr(id, 2) AS INT)) AS listed FROM snip GROUP BY doc_id),
       m AS (SELECT doc_id, '# Detected variables' || {n} || {n} || coalesce('## Snippet index' || {n} || {n} || '| ID | Block(s) | Review | File |' || {n} || '|----|----------|--------|------|' || {n} || listed || {n}, '') || coalesce(entries, '_No bracketed variables detected._' || {n}) AS markdown
         FROM (SELECT DISTINCT doc_id FROM d) LEFT JOIN listed USING (doc_id) LEFT JOIN entries USING (doc_id))
-      SELECT doc_id, CAST(length(markdown) AS INT) AS n_chars, md5(markdown) AS digest FROM m"""
+      SELECT doc_id, markdown FROM m"""
 
 
 def _marker_counts() -> str:
@@ -242,12 +248,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, block_index, CASE WHEN ok THEN CASE {chosen} END END AS lang, CASE WHEN ok THEN round(CAST({best} AS DOUBLE) / ({total}), 4) END AS confidence FROM (SELECT *, length(text) >= 25 AND {best} > 0 AND 2 * {best} >= {total} AS ok FROM n)""",
         "page_numbers": f"SELECT doc_id, block_index, CAST(1 + sum(CASE WHEN block_index % 6 = 0 THEN 1 ELSE 0 END) OVER w + coalesce(sum(CASE WHEN block_index % 5 = 0 THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS page FROM ({X.STYLED}) WINDOW w AS (PARTITION BY doc_id ORDER BY block_index)",
     }
-    return out | {"markdown_inventory": _inventory_sql(out["snippet_index"])}
+    return out | {"inventory_texts": _inventory_sql(out["snippet_index"])}
 
 
 def queries() -> dict:
     named = (
         blocks_from_text, fields_of_blocks, doc_id_hash, neighbors_flow, neighbors_table, bracket_hits, bracket_balance, cross_block_hits, document_sections,
-        snippet_index, snippet_files, cross_previews, markdown_inventory, table_markdown, span_cells, dominant_language, document_languages, language_tags, page_numbers,
+        snippet_index, snippet_files, cross_previews, markdown_inventory, inventory_texts, table_markdown, span_cells, dominant_language, document_languages, language_tags, page_numbers,
     )
     return {f.__name__: f for f in named}
