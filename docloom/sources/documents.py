@@ -147,12 +147,13 @@ def on_pages(ranges: list[tuple[int, int]], page: str = "page") -> Column:
 
 
 def check_pages(blocks: DataFrame, ranges: list[tuple[int, int]]) -> None:
-    """An error if the documents have no pages, or fewer than the selection names."""
-    last = blocks.agg(F.max("page")).first()[0]
-    if last is None:
+    """An error if a document has no pages, or fewer than the selection names; documents are judged one by one."""
+    each = blocks.groupBy("doc_id").agg(F.max("page").alias("last"))
+    least, documents, paged = each.agg(F.min("last"), F.count("*"), F.count("last")).first()
+    if documents == 0 or paged < documents:
         raise ValueError("this input has no pages")
-    if last < max(hi for _, hi in ranges):
-        raise ValueError(f"pages up to {max(hi for _, hi in ranges)} are selected, but there are {last}")
+    if least < max(hi for _, hi in ranges):
+        raise ValueError(f"pages up to {max(hi for _, hi in ranges)} are selected, but there are {least}")
 
 
 def parse_parties(spec: str, read=None) -> list[str]:
