@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.session import guard
+from docloom.session import discard, guard, settle, shared_folder  # noqa: F401  the other modules take them from here
 
 #: Rows of one Arrow batch. Texts may be long, so batches stay small.
 BATCH_ROWS = 1000
@@ -30,42 +30,3 @@ def bounded_batches(spark: SparkSession) -> None:
 def with_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, in this order; clashing extra columns never reach an operator."""
     return df.select(*[df[n] for n in names])
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's own, or a temporary one where both are one process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share under master {master}")
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-#: Set on a settled table: where it lies.
-_PATH = "_docloom_path"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: computed once, and no executor's loss brings it up again."""
-    import uuid
-
-    path = f"{shared_folder(df.sparkSession)}/docloom/{uuid.uuid4().hex}"
-    guard(df.sparkSession)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    setattr(out, _PATH, path)
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete settled tables that nothing refers to any more; other DataFrames are left alone."""
-    for t in tables:
-        if path := t.__dict__.get(_PATH):
-            jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from docloom.operators import censor
 from docloom.operators.fields import collapse
+from docloom.session import settle
 
-SLUG, DISPLAY = 50, 60
+SLUG, DISPLAY, HEAD = 50, 60, 256
 KIND_LABELS = {"paired": "paired", "paired_long": "paired (long)", "paired_cross_paragraph": "paired (cross-paragraph)", "lone_open": "lone [", "lone_close": "lone ]"}
 
 
@@ -52,13 +53,24 @@ def slices(fields: DataFrame, hits: DataFrame, names: list[str] | None = None, a
     """The fields of each range, censored as if the range were a document: its placeholders count from 001.
 
     (doc_id, id, first_block, last_block) and the columns of fields. Only fields in a range are searched, each
-    once however many ranges cover it; the spans are then dealt to the ranges by block, and numbered per range.
+    once however many ranges cover it, and settled with their spans and ranges. Spans, without texts, are
+    numbered per range by windows; the names then come back to their fields, whose texts move once.
     """
-    each = ranges(hits).select("doc_id", "id", F.col("block_index").alias("first_block"), F.col("end_block").alias("last_block"))
-    covered = each.withColumn("block_index", F.explode(F.sequence("first_block", "last_block")))
-    found = censor.detect(fields.join(covered, ["doc_id", "block_index"], "left_semi"), names, allowed)
-    dealt = found.join(covered, ["doc_id", "block_index"]).withColumn("doc_id", F.struct("doc_id", "id", "first_block", "last_block"))
-    return censor.censored(dealt.select(*found.columns)).select("doc_id.*", *[c for c in fields.columns if c != "doc_id"])
+    each = ranges(hits).select("doc_id", F.struct("id", F.col("block_index").alias("first_block"), F.col("end_block").alias("last_block")).alias("_range"))
+    covered = each.withColumn("block_index", F.explode(F.sequence("_range.first_block", "_range.last_block")))
+    covered = covered.groupBy("doc_id", "block_index").agg(F.collect_list("_range").alias("_ranges"))
+    found = settle(censor.detect(fields.join(covered, ["doc_id", "block_index"]), names, allowed).withColumn("_row", F.monotonically_increasing_id()))
+    spans = found.where("size(spans) > 0").select("_row", "doc_id", "block_index", "cell_row", "cell_col", "_ranges", F.explode("spans").alias("s"))
+    spans = spans.select("_row", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), F.col("s.value_type").alias("value_type"), censor.position(True, F.col("s.start")).alias("at"), "doc_id", "_ranges")
+    spans = spans.withColumn("_range", F.explode("_ranges")).drop("_ranges").repartition("doc_id", "_range.id")
+    put = censor.numbered(spans.withColumn("_id", F.col("_range.id")), ["doc_id", "_id"])
+    put = put.groupBy("_row", "_range").agg(F.sort_array(F.collect_list(F.struct("start", "end", "placeholder"))).alias("p"))
+    names_of = put.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_range", "p"))).alias("_put"))
+    columns = [c for c in fields.columns if c != "doc_id"]
+    rows = found.join(names_of, "_row", "left").withColumn("_range", F.explode("_ranges"))
+    rows = rows.withColumn("_p", F.coalesce(F.expr("_put[_range]"), F.expr("cast(array() as array<struct<start:int,end:int,placeholder:string>>)")))
+    text = F.expr(censor.substitute_sql("_p"))
+    return rows.select("doc_id", "_range.*", *[text.alias(c) if c == "text" else F.col(c) for c in columns])
 
 
 def with_previews(hits: DataFrame, slices: DataFrame) -> DataFrame:
@@ -87,16 +99,18 @@ def snippet_index(hits: DataFrame, blocks: DataFrame, slices: DataFrame | None =
     found = ranges(hits)
     # A range's text is that of its first block that is no table: within one block the block itself.
     if slices is None:
-        opening = blocks.where("kind <> 'table'").select("doc_id", F.col("block_index").alias("_b"), "text")
-        texts = found.join(opening, (found["doc_id"] == opening["doc_id"]) & opening["_b"].between(found["block_index"], found["end_block"]), "left")
-        texts = texts.groupBy(found["doc_id"], "block_index", "end_block", "n", "id", "needs_review", "is_cross").agg(F.min_by("text", "_b").alias("text"))
+        flow = F.when(F.col("kind") != "table", F.struct(F.col("block_index").alias("at"), slug(F.coalesce("text", F.lit(""))).alias("slug")))
+        onwards = Window.partitionBy("doc_id").orderBy(F.desc("block_index")).rowsBetween(Window.unboundedPreceding, 0)
+        opening = blocks.select("doc_id", "block_index", flow.alias("o")).select("doc_id", "block_index", F.last("o", ignorenulls=True).over(onwards).alias("o"))
+        opening = opening.groupBy("doc_id", "block_index").agg(F.min("o").alias("o"))
+        texts = found.join(opening, ["doc_id", "block_index"], "left").withColumn("slug", F.when(F.col("o.at") <= F.col("end_block"), F.col("o.slug"))).drop("o")
     else:
-        opening = slices.where("kind <> 'table_cell'").groupBy("doc_id", "id").agg(F.min_by("text", "block_index").alias("text"))
-        texts = found.join(opening, ["doc_id", "id"], "left")
-    named = texts.withColumn("slug", slug(F.coalesce("text", F.lit("")))).withColumn("family", F.regexp_replace("slug", "(?:-[0-9]+)+$", ""))
+        opening = slices.where("kind <> 'table_cell'").select("doc_id", "id", "block_index", slug(F.coalesce("text", F.lit(""))).alias("slug"))
+        texts = found.join(opening.groupBy("doc_id", "id").agg(F.min_by("slug", "block_index").alias("slug")), ["doc_id", "id"], "left")
+    named = texts.withColumn("slug", F.coalesce("slug", F.lit("span"))).withColumn("family", F.regexp_replace("slug", "(?:-[0-9]+)+$", ""))
     folder = ["doc_id", "is_cross"]
     mixed = (F.min("slug").over(Window.partitionBy(*folder, "family")) != F.max("slug").over(Window.partitionBy(*folder, "family"))).alias("mixed")
-    rows = named.select("*", mixed)
+    rows = settle(named.select("*", mixed))
     k = F.row_number().over(Window.partitionBy(*folder, "slug").orderBy("n"))
     plain = rows.where("not mixed").withColumn("name", F.when(k == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), k)))
     # A family in order: the names taken so far, and for each slug the last number it was given.
@@ -124,8 +138,9 @@ def escape_cell(c: Column) -> Column:
 
 
 def display_cell(c: Column) -> Column:
-    """A span for a table cell: one line, at most 60 characters, in an inline code mark."""
-    plain = F.replace(collapse(c), F.lit("`"), F.lit("'"))
+    """A span for a table cell: one line, at most 60 characters, in an inline code mark. What a long span's first part fills needs no more of it."""
+    head = collapse(F.left(c, F.lit(HEAD)))
+    plain = F.replace(F.when(F.length(head) > DISPLAY, head).otherwise(collapse(c)), F.lit("`"), F.lit("'"))
     short = F.when(F.length(plain) > DISPLAY, F.concat(F.left(plain, F.lit(DISPLAY)), F.lit("…"))).otherwise(plain)
     return F.concat(F.lit("`"), F.replace(short, F.lit("|"), F.lit("\\|")), F.lit("`"))
 
@@ -154,9 +169,10 @@ def render(blocks: DataFrame, hits: DataFrame, snippets: DataFrame) -> DataFrame
     label = F.create_map(*[F.lit(x) for kv in KIND_LABELS.items() for x in kv])
     link = F.concat(F.lit("["), F.col("path"), F.lit("]("), F.col("path"), F.lit(")"))
     file = F.coalesce(link, F.lit(""))
-    joined = hits.join(snippets, ["doc_id", "block_index", "end_block"], "left")
+    cells = hits.withColumn("cell", display_cell(F.col("span_text"))).drop("span_text")
+    joined = cells.join(snippets, ["doc_id", "block_index", "end_block"], "left")
     status = F.when(F.col("status") == "guessed", "⚠ GUESSED").otherwise("confident")
-    row = F.concat(F.lit("| "), F.coalesce("id", F.lit("")), F.lit(" | "), display_cell(F.col("span_text")), F.lit(" | "), label[F.col("kind")], F.lit(" | "), status, F.lit(" | "), file, F.lit(" |\n"))
+    row = F.concat(F.lit("| "), F.coalesce("id", F.lit("")), F.lit(" | "), "cell", F.lit(" | "), label[F.col("kind")], F.lit(" | "), status, F.lit(" | "), file, F.lit(" |\n"))
     lines = joined.select("doc_id", "block_index", F.struct("block_index", "start", "cell_row", "cell_col", "kind").alias("at"), row.alias("row"))
     sectioned = with_section(blocks)
     by_section = lines.join(sectioned.select("doc_id", "block_index", "section"), ["doc_id", "block_index"]).groupBy("doc_id", "section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "row"))), lambda r: r["row"]), "").alias("inventory"))

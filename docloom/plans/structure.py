@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docloom.operators import brackets, fields, language, sections, style
 from docloom.plans import fixtures as X
 from docloom.plans import spans as P
+from docloom.session import settle
 
 FIELD = ["doc_id", "block_index", "cell_row", "cell_col", "kind", "text"]
 
@@ -42,55 +43,55 @@ def bracket_balance(spark, sf_dir):
     return b.select("doc_id", F.col("open").alias("n_open"), F.col("close").alias("n_close"), "balanced")
 
 
-def _hits(spark, sf_dir):
+def _places(spark, sf_dir):
+    """Blocks, their fields, and the places of their hits, found once."""
     blocks = X.drafts(spark, sf_dir)
-    return blocks, brackets.hits(blocks, fields.fields(blocks))
+    f = fields.fields(blocks)
+    return blocks, f, settle(brackets.places(f))
 
 
 def cross_block_hits(spark, sf_dir):
-    _, h = _hits(spark, sf_dir)
+    h = brackets.hits(*_places(spark, sf_dir))
     return h.select("doc_id", "block_index", "cell_row", "cell_col", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "end_block", "kind", "status", F.length("span_text").alias("n_chars"), F.md5("span_text").alias("digest"))
 
 
 def document_sections(spark, sf_dir):
-    blocks, h = _hits(spark, sf_dir)
-    return sections.sections(blocks, h)
+    blocks = X.drafts(spark, sf_dir)
+    return sections.sections(blocks, brackets.places(fields.fields(blocks)))
 
 
 def snippet_index(spark, sf_dir):
-    blocks, h = _hits(spark, sf_dir)
-    return sections.snippet_index(h, blocks)
+    blocks = X.drafts(spark, sf_dir)
+    return sections.snippet_index(brackets.places(fields.fields(blocks)), blocks)
+
+
+def _inventories(spark, sf_dir):
+    blocks, f, places = _places(spark, sf_dir)
+    return sections.render(blocks, brackets.hits(blocks, f, places), settle(sections.snippet_index(places, blocks)))
 
 
 def markdown_inventory(spark, sf_dir):
-    blocks, h = _hits(spark, sf_dir)
-    return sections.render(blocks, h, sections.snippet_index(h, blocks)).select("doc_id", F.length("markdown").alias("n_chars"), F.md5("markdown").alias("digest"))
+    return _inventories(spark, sf_dir).select("doc_id", F.length("markdown").alias("n_chars"), F.md5("markdown").alias("digest"))
 
 
 def inventory_texts(spark, sf_dir):
     """The whole inventories; markdown_inventory gives their digests."""
-    blocks, h = _hits(spark, sf_dir)
-    return sections.render(blocks, h, sections.snippet_index(h, blocks))
-
-
-def _slices(spark, sf_dir):
-    blocks = X.drafts(spark, sf_dir)
-    f = fields.fields(blocks)
-    h = brackets.hits(blocks, f)
-    return blocks, h, sections.slices(f, h)
+    return _inventories(spark, sf_dir)
 
 
 def snippet_files(spark, sf_dir):
     """Snippet files of the drafts, censored range by range."""
-    blocks, h, s = _slices(spark, sf_dir)
-    files = sections.snippet_documents(s, sections.snippet_index(h, blocks, s), "drafts.md")
+    blocks, f, places = _places(spark, sf_dir)
+    s = settle(sections.slices(f, places))
+    files = sections.snippet_documents(s, sections.snippet_index(places, blocks, s), "drafts.md")
     return files.select("doc_id", "id", "path", F.length("markdown").alias("n_chars"), F.md5("markdown").alias("digest"))
 
 
 def cross_previews(spark, sf_dir):
-    """Spans across paragraphs as the inventory shows them."""
-    _, h, s = _slices(spark, sf_dir)
-    shown = sections.with_previews(h, s).where("kind = 'paired_cross_paragraph'")
+    """Spans across paragraphs as the inventory shows them. Only their ranges are cut out; a range is censored by itself."""
+    _, f, places = _places(spark, sf_dir)
+    crossing = places.where("kind = 'paired_cross_paragraph'")
+    shown = sections.with_previews(crossing.withColumn("span_text", F.lit("")), sections.slices(f, crossing))
     return shown.select("doc_id", "block_index", F.col("start").alias("start_at"), "end_block", F.length("span_text").alias("n_chars"), F.md5("span_text").alias("digest"))
 
 
