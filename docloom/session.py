@@ -58,7 +58,7 @@ def settle(df: DataFrame) -> DataFrame:
 
     path = f"{shared_folder(df.sparkSession)}/docloom/{uuid.uuid4().hex}"
     guard(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     setattr(out, _PATH, path)
     return out
