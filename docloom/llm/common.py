@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.session import discard, guard, settle, shared_folder  # noqa: F401  the other modules take them from here
-
-#: Rows of one Arrow batch. Texts may be long, so batches stay small.
-BATCH_ROWS = 1000
+from docloom.session import BATCH_ROWS, bounded_batches, discard, guard, settle, shared_folder  # noqa: F401  the other modules take them from here
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches that go to Python workers small in rows and bytes, and let local workers find this package."""
-    guard(spark)
-    root = str(Path(__file__).resolve().parents[2])
-    environment = spark.sparkContext.environment
-    if root not in environment.get("PYTHONPATH", "").split(":"):
-        environment["PYTHONPATH"] = ":".join(filter(None, [environment.get("PYTHONPATH"), root]))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
-
-
 def with_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, in this order; clashing extra columns never reach an operator."""
     return df.select(*[df[n] for n in names])

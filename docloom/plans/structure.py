@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.operators import brackets, fields, language, sections, style
+from docloom.operators import brackets, fields, inventory, language, sections, style
 from docloom.plans import fixtures as X
 from docloom.plans import spans as P
 from docloom.session import settle
@@ -65,18 +65,15 @@ def snippet_index(spark, sf_dir):
     return sections.snippet_index(brackets.places(fields.fields(blocks)), blocks)
 
 
-def _inventories(spark, sf_dir):
-    blocks, f, places = _places(spark, sf_dir)
-    return sections.render(blocks, brackets.hits(blocks, f, places), settle(sections.snippet_index(places, blocks)))
-
-
 def markdown_inventory(spark, sf_dir):
-    return _inventories(spark, sf_dir).select("doc_id", F.length("markdown").alias("n_chars"), F.md5("markdown").alias("digest"))
+    blocks, f, places = _places(spark, sf_dir)
+    made = sections.render(blocks, brackets.hits(blocks, f, places), settle(sections.snippet_index(places, blocks)))
+    return made.select("doc_id", F.length("markdown").alias("n_chars"), F.md5("markdown").alias("digest"))
 
 
 def inventory_texts(spark, sf_dir):
     """The whole inventories; markdown_inventory gives their digests."""
-    return _inventories(spark, sf_dir)
+    return inventory.inventories(X.drafts(spark, sf_dir))
 
 
 def snippet_files(spark, sf_dir):

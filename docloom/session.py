@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of one Arrow batch. Texts may be long, so batches stay small.
+BATCH_ROWS = 1000
+
 
 def guard(spark: SparkSession) -> SparkSession:
     """Settings that right results and bounded work need.
@@ -34,6 +39,17 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "d
     return guard(spark)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches that go to Python workers small in rows and bytes, and let local workers find this package."""
+    guard(spark)
+    root = str(Path(__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    if root not in environment.get("PYTHONPATH", "").split(":"):
+        environment["PYTHONPATH"] = ":".join(filter(None, [environment.get("PYTHONPATH"), root]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's own, or a temporary one where both are one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
