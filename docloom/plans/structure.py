@@ -66,9 +66,7 @@ def snippet_index(spark, sf_dir):
 
 
 def markdown_inventory(spark, sf_dir):
-    blocks, f, places = _places(spark, sf_dir)
-    made = sections.render(blocks, brackets.hits(blocks, f, places), settle(sections.snippet_index(places, blocks)))
-    return made.select("doc_id", F.length("markdown").alias("n_chars"), F.md5("markdown").alias("digest"))
+    return inventory.inventories(X.drafts(spark, sf_dir)).select("doc_id", F.length("markdown").alias("n_chars"), F.md5("markdown").alias("digest"))
 
 
 def inventory_texts(spark, sf_dir):

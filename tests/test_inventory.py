@@ -53,7 +53,7 @@ def test_no_documents(spark):
     assert inventory.inventories(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["inventory_texts"])
+@pytest.mark.parametrize("name", ["inventory_texts", "markdown_inventory"])
 def test_texts_move_once(spark, tmp_path, name):
     """On rows of hits these queries settled two tables and joined texts to them: 35 exchanges and more."""
     docs = [(i, "One, two. Three\nfour, | five.\nsix") for i in range(50)]
