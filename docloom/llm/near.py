@@ -1,10 +1,21 @@
 """Near copies by shingles: classes of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-1. Texts with equal sets are one node, so exact copies cost one row.
-2. Candidates: each set has BANDS hashes of ROWS minima each. Nodes that share a
-   hash meet in a bucket, and buckets that share nodes join into a group. A pair
-   at 0.8 shares no hash with a chance of (1 - 0.8**ROWS)**BANDS, about 5e-9; a
-   more similar pair with less.
+SimHash as in op3's operator, with buckets and a radius for a similarity of 0.8:
+
+1. Texts with equal sets are one node, so exact copies cost one row. Each has a
+   fingerprint of 128 bits: the majorities of the bits of its shingles' hashes.
+2. Candidates: nodes meet in buckets, and within a bucket their fingerprints are
+   compared bit-sliced (simhash.block_links); those within RADIUS bits link, and
+   links join into a group. Buckets are BANDS hashes of ROWS minima each, as bands
+   of a fingerprint's bits cannot hold such pairs together: two texts at 0.8 differ
+   in 15 % of the bits. A pair at 0.8 shares no bucket with a chance of
+   (1 - 0.8**ROWS)**BANDS, about 5e-9; its fingerprints differ in more than RADIUS
+   bits with a chance of 8e-13 (3e-9 for sets of four and five shingles, the
+   worst); a more similar pair with less. Unrelated texts differ in 64 bits or so:
+   98 of 100 that share a bucket are told apart. In a bucket over CROWD nodes, one
+   node is compared with all, and so is each that lies apart from it; where over
+   CROWD lie apart, the bucket is one group, so its work stays in proportion and
+   nothing is lost.
 3. Exact check: the shingle sets of a group are compared; only pairs of 0.8 or
    more link. Each found class is left out of further comparisons, so a large
    group of near copies costs about one pass. A group of up to LIMIT shingles is
@@ -16,9 +27,6 @@
    with all chunks: two texts of different classes are never both in the largest,
    so no link is missed. A task holds a chunk and a block, whatever a group holds.
 
-A 64-bit fingerprint cannot give the candidates: pairs at 0.8 are up to a dozen
-bits apart or more, and a dozen bands leave five bits each.
-
 Words, nulls, repeats and rows without a doc_id are as in simhash: words are cut
 at white space and lower-cased (ASCII); a text of fewer words than a shingle is
 one shingle; texts without words are copies of each other; rows without a doc_id
@@ -36,6 +44,8 @@ from docloom.llm import simhash
 from docloom.llm.common import bounded_batches, settle, with_columns
 
 WIDTH, BANDS, ROWS, LIMIT = 5, 48, 5, 1 << 20
+#: Bits that fingerprints of 128 may differ in; nodes of a bucket that are all compared with each other; rows compared at once.
+RADIUS, CROWD, GATHERED = 52, 32, 1 << 14
 _RANDOM = np.random.default_rng(5)
 _TIMES = _RANDOM.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLUS = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -66,8 +76,19 @@ def bands(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(rows[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
 
 
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """Two words of 64 bits: a bit is 1 where over half the hashes have it, in the second word after a mix of theirs; 0 of an empty set."""
+    with np.errstate(over="ignore"):
+        mixed = (found ^ (found >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        mixed = (mixed ^ (mixed >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    words, counts = np.column_stack([found, mixed ^ (mixed >> np.uint64(33))]), np.zeros(128, np.int64)
+    for at in range(0, len(words), 8192):
+        counts += simhash.unpacked(words[at : at + 8192]).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(words), bitorder="little").view("<i8")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, a digest of the set of shingles, its size and its band hashes."""
+    """doc_id, a digest of the set of shingles, its size, its fingerprint and its band hashes."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
@@ -76,29 +97,71 @@ def sketches(docs: DataFrame) -> DataFrame:
         for b in batches:
             sets = [shingles(t) for t in b.column(1).to_pylist()]
             digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), digests, pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "bands"])
-
-    return with_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, digest binary, n bigint, bands array<bigint>")
+            fps = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
+            columns = [b.column(0), digests, pa.array([len(s) for s in sets], pa.int64()), pa.array(fps[:, 0]), pa.array(fps[:, 1]), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n", "fp", "fp2", "bands"])
+
+    return with_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, digest binary, n bigint, fp bigint, fp2 bigint, bands array<bigint>")
+
+
+def _crowd(fp: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that join the nodes of one bucket within RADIUS: each node that lies apart from the first is compared with all."""
+    bits = simhash.unpacked(fp)
+    planes, n = simhash._planes(bits), len(fp)
+    none = np.zeros(planes.shape[1], np.uint8)
+
+    def within(i: int) -> np.ndarray:
+        over = simhash.exceeding((bits[i] * np.uint8(255))[:, None], planes, none, RADIUS)
+        return np.unpackbits(~over, count=n, bitorder="little").astype(bool)
+
+    near = within(0)
+    apart = np.flatnonzero(~near)
+    if len(apart) > CROWD:
+        return np.full(n, nodes[0]), nodes
+    left, right = [np.full(int(near.sum()), nodes[0])], [nodes[near]]
+    for i in apart.tolist():
+        close = within(i)
+        to = apart[close[apart]].tolist() + [0] * bool((close & near).any())
+        left.append(np.full(len(to), nodes[i]))
+        right.append(nodes[to])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _bucket_links(x: np.ndarray) -> pa.RecordBatch:
+    """Edges (a, b) of rows (band, node, fp, fp2) of whole buckets, sorted by band."""
+    ends = np.append(np.flatnonzero(x[1:, 0] != x[:-1, 0]) + 1, len(x))
+    starts = np.append(0, ends[:-1])
+    size, fp = np.repeat(ends - starts, ends - starts), np.ascontiguousarray(x[:, 2:]).view(np.uint64)
+    few = np.flatnonzero((size > 1) & (size <= CROWD))
+    pairs = np.array(simhash._forest(*simhash.block_links(x[few, 0], fp[few], RADIUS)), np.int64).reshape(-1, 2)
+    links = [(x[few[pairs[:, 0]], 1], x[few[pairs[:, 1]], 1])]
+    links += [_crowd(fp[s:e], x[s:e, 1]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if e - s > CROWD]
+    a, b = (np.concatenate([link[k] for link in links]) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b), a < b, from the smallest node of each bucket to its others."""
+    """Edges (a, b), a < b, that join the nodes (node, fp, fp2, bands) of each bucket whose fingerprints lie within RADIUS."""
     bounded_batches(nodes.sparkSession)
 
     def run(batches):
-        last = np.empty((0, 2), np.int64)
+        held, size = [], 0
         for batch in batches:
-            x = np.concatenate([last, np.column_stack([c.to_numpy() for c in batch.columns])])
-            if not len(x):
+            if not batch.num_rows:
+                continue
+            held.append(np.column_stack([c.to_numpy() for c in batch.columns]))
+            size += batch.num_rows
+            if size < GATHERED or held[0][0, 0] == held[-1][-1, 0]:
                 continue
-            new = np.append(True, x[1:, 0] != x[:-1, 0])
-            first = x[np.maximum.accumulate(np.where(new, np.arange(len(x)), 0)), 1]
-            other = first != x[:, 1]
-            yield pa.RecordBatch.from_arrays([pa.array(first[other]), pa.array(x[other, 1])], names=["a", "b"])
-            last = np.array([[x[-1, 0], first[-1]]])
+            x = np.concatenate(held)
+            start = int(np.searchsorted(x[:, 0], x[-1, 0]))
+            yield _bucket_links(x[:start])
+            held, size = [x[start:]], len(x) - start
+        if held:
+            yield _bucket_links(np.concatenate(held))
 
-    rows = nodes.select(F.explode("bands").alias("band"), "node").repartition("band").sortWithinPartitions("band", "node")
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    rows = nodes.select(F.explode("bands").alias("band"), "node", "fp", "fp2").repartition("band").sortWithinPartitions("band", "node")
+    return rows.mapInArrow(run, "a bigint, b bigint").where("a < b").distinct()
 
 
 def similar(sets: list[np.ndarray]) -> np.ndarray:
@@ -253,7 +316,7 @@ def checked(members: DataFrame, limit: int | None = None) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id and component_id, the smallest doc_id reachable over links."""
     made = settle(sketches(docs))
-    nodes = settle(made.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    nodes = settle(made.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n", "fp", "fp2", "bands")]))
     named = settle(made.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")))
     groups = simhash.components(candidates(nodes)).join(nodes.select("node", "n"), "node")
     # A doc_id with several texts is a node of each; their sizes count together.

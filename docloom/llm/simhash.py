@@ -79,10 +79,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _planes(bits: np.ndarray) -> np.ndarray:
-    """(lanes, 64) bits to (64, lanes / 8) packed planes."""
+    """(lanes, bits) to (bits, lanes / 8) packed planes."""
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
 
 
+def unpacked(fp: np.ndarray) -> np.ndarray:
+    """Fingerprints to (lanes, bits)."""
+    return np.unpackbits(np.ascontiguousarray(fp.astype("<u8")).view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+
+
 def exceeding(a: np.ndarray, b: np.ndarray, dead: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Packed lanes whose planes a and b differ in more than ``radius`` bits, or that were dead before.
 
@@ -92,7 +97,7 @@ def exceeding(a: np.ndarray, b: np.ndarray, dead: np.ndarray, radius: int = RADI
     size = (radius + 1).bit_length()
     count = [np.zeros_like(dead) for _ in range(size)]
     over = dead.copy()
-    for plane in range(64):
+    for plane in range(len(b)):
         carry = a[plane] ^ b[plane]
         for k in range(size):
             carry, count[k] = count[k] & carry, count[k] ^ carry
@@ -117,11 +122,14 @@ def _greater(count: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def block_links(bucket: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes (i, j) of lanes in one bucket within the radius. ``bucket`` is sorted; equal numbers stand together."""
+    """Indexes (i, j) of lanes in one bucket within the radius. ``bucket`` is sorted; equal numbers stand together.
+
+    ``fp`` holds a 64-bit word per lane, or a row of several words.
+    """
     n, left, right = len(fp), [], []
     if n < 2:
         return np.empty(0, int), np.empty(0, int)
-    bits = np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    bits = unpacked(fp)
     _, sizes = np.unique(bucket, return_counts=True)
     for lo in range(0, n - 1, LANES):
         hi = min(lo + LANES, n)
